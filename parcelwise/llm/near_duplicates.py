@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelwise.llm._common import add_columns, col, materialize, mixed, slices, text_key, utf8
+from parcelwise.llm._common import add_columns, col, materialize, mixed, rows_with, slices, text_key, utf8
 from parcelwise.llm._graph import components
 
 RUN = 5
@@ -155,9 +155,9 @@ def _candidates(signed: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
     """The pairs whose texts are at least so similar, as (u, v)."""
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "near-wanted")
     texts = docs.select(text_key(col(text).cast("string")).alias("key"), col(text).cast("string").alias("text"))
-    texts = materialize(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "near-texts")
+    texts = materialize(rows_with(texts, wanted, "key").dropDuplicates(["key"]), "near-texts")
     sided = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
