@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from itertools import chain
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +21,8 @@ from parcelwise.llm._common import add_columns
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words in a worker's cache; it is emptied beyond that.
-CACHE_WORDS = 300_000
+#: Words in each of the two generations of a worker's cache: when one is full, the one before goes.
+CACHE_WORDS = 250_000
 #: Compatible and incompatible pairs in a worker's cache.
 CACHE_PAIRS = 1_000_000
 
@@ -55,17 +55,17 @@ class PrefixTable:
             if len(parts) == 1:
                 whole.append(p)
                 self.split[p] = last
+        self.pieces = {self.ids[p]: p for p in whole}
+        self.chars = {p for p in self.ids if len(p) == 1}
+        #: All tied pieces are runs of spaces as a rule; then one look tells whether a word holds any.
+        self.tie = SPACE * 2 if all(p.startswith(SPACE * 2) for p in self.tied) else None
         self.automaton = ahocorasick.Automaton()
         for p in whole:
-            self.automaton.add_word(p, p)
-        self.ties = ahocorasick.Automaton()
-        for p in self.tied:
-            self.ties.add_word(p, p)
-        for a in (self.automaton, self.ties):
-            if len(a):
-                a.make_automaton()
+            self.automaton.add_word(p, (self.ids[p], len(p)))
+        self.automaton.make_automaton()
         self.words: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, word: str) -> tuple[list[str], tuple[str, str] | None]:
         """The pieces by the queue of merges, best score first, then leftmost; and the last merge."""
@@ -94,11 +94,9 @@ class PrefixTable:
                 offer(before[i])
         return [p for p in part if p is not None], last
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether a followed by b stays so: undoing merges at the seam, latest first, no merge over it may come before one that it undoes."""
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
+    def compatible(self, first: int, second: int) -> bool:
+        """Whether a token followed by another stays so: undoing merges at the seam, latest first, no merge over it may come before one that it undoes."""
+        a, b = self.pieces[first], self.pieces[second]
         x, y, worst, on_right = a, b, float("inf"), False
         while True:
             over = self.score.get(x + y)
@@ -116,46 +114,45 @@ class PrefixTable:
                 y, worst, on_right = sy[0], ry, True
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = out
+        self.pairs[first << 20 | second] = out
         return out
 
-    def by_prefixes(self, word: str) -> list[str]:
-        """The pieces of a word of characters that the vocabulary has."""
+    def by_prefixes(self, word: str) -> list[int]:
+        """The ids of a word of characters that the vocabulary has: last[i] is the last token of the first i characters."""
         n = len(word)
-        ending: list[list[str]] = [[] for _ in range(n)]
-        for end, p in self.automaton.iter(word):
-            ending[end].append(p)
-        last: list[str] = [""] * (n + 1)
-        for end in range(1, n + 1):
-            for p in ending[end - 1]:
-                start = end - len(p)
-                if start == 0 or (last[start] and self.compatible(last[start], p)):
-                    last[end] = p
-                    break
+        last, begin, pairs = [-1] * (n + 1), [0] * (n + 1), self.pairs
+        for at, (token, size) in self.automaton.iter(word):
+            end = at + 1
+            if last[end] >= 0:
+                continue
+            start = end - size
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = pairs.get(before << 20 | token)
+                if not (self.compatible(before, token) if fits is None else fits):
+                    continue
+            last[end], begin[end] = token, start
         out, end = [], n
         while end:
             out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+            end = begin[end]
+        out.reverse()
+        return out
 
     def word(self, word: str) -> tuple[int, ...]:
+        if self.chars.issuperset(word):
+            return tuple(self._known(word))
         out: list[int] = []
-        for known, run in self._runs(word):
-            if not known:
-                out += [self.bytes[b] for b in run.encode()]
-            elif next(self.ties.iter(run), None) if len(self.ties) else None:
-                out += [self.ids[p] for p in self.merged(run)[0]]
-            else:
-                out += [self.ids[p] for p in self.by_prefixes(run)]
-        return tuple(out)
+        for known, run in groupby(word, self.chars.__contains__):
+            out += self._known("".join(run)) if known else [self.bytes[b] for b in "".join(run).encode()]
+        return tuple(out)  # no merge goes over a character that isn't in the vocabulary
 
-    def _runs(self, word: str):
-        """Runs of characters that are in the vocabulary, or aren't: no merge goes over the latter."""
-        start = 0
-        for i in range(1, len(word) + 1):
-            if i == len(word) or (word[i] in self.ids) != (word[start] in self.ids):
-                yield word[start] in self.ids, word[start:i]
-                start = i
+    def _known(self, run: str) -> list[int]:
+        if self.tie in run if self.tie else any(p in run for p in self.tied):
+            return [self.ids[p] for p in self.merged(run)[0]]
+        return self.by_prefixes(run)
 
     def encode(self, text: str | None) -> tuple[str, list[int]]:
         """The ids in decimal, joined by commas, and the ids."""
@@ -165,10 +162,13 @@ class PrefixTable:
         for w in _WORDS.findall(SPACE + text.replace(" ", SPACE)):
             got = words.get(w)
             if got is None:
-                ids = self.word(w)
-                got = (",".join(map(str, ids)), ids)
+                got = self.older.get(w)
+                if got is None:
+                    ids = self.word(w)
+                    got = (",".join(map(str, ids)), ids)
                 if len(words) >= CACHE_WORDS:
-                    words.clear()
+                    self.older, self.words = words, {}
+                    words = self.words
                 if len(w) <= 64:
                     words[w] = got
             found.append(got)
