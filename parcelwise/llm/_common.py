@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 #: A word of a text, for Spark's and Python's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python step holds at once; a longer text is one slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: What Spark puts into one batch for Python at most; its own limit lets two tasks hold several hundred MB.
+BATCH_BYTES = 8 << 20
 _made: set[str] = set()
 
 
@@ -109,10 +111,19 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         start = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to BATCH_BYTES, if it is higher: texts can be long, so rows alone don't bound a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = str(spark.conf.get(key, "64m")).lower().rstrip("b")
+    now = int(said[:-1]) << {"k": 10, "m": 20, "g": 30}[said[-1]] if said[-1] in "kmg" else int(said)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def add_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]], keep: list[str] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
     """df's columns (or those of keep) and the new fields, which make()(texts) works out from slices of the column text.
 
-    make is called once a task. Columns of df whose names clash with the new ones are replaced.
+    make is called once a task; what it returns may have a `done`, called at the task's end. Columns of df whose names clash with the new ones are replaced.
     """
     new = [f.name for f in fields]
     kept = [c for c in others(df, new) if keep is None or c in keep]
@@ -122,10 +133,14 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Cal
 
     def run(batches):
         work = make()
-        for batch in batches:
-            for part in slices(batch, at, limit):
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], *work(part.column(at))], names=[*kept, *new])
+        try:
+            for batch in batches:
+                for part in slices(batch, at, limit):
+                    yield pa.RecordBatch.from_arrays([*part.columns[:n], *work(part.column(at))], names=[*kept, *new])
+        finally:
+            getattr(work, "done", lambda: None)()
 
+    small_batches(df.sparkSession)
     return src.mapInArrow(run, T.StructType([*src.schema.fields[:n], *fields]))
 
 

@@ -134,7 +134,7 @@ def _bands(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         return work
 
     src = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
-    return add_columns(src, "text", [T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))], make, ["doc_id"])
+    return add_columns(src, "text", [T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))], make, ["doc_id"], 1 << 20)
 
 
 def _candidates(signed: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelwise.llm._common import col, materialize, mixed, others, slices, text_key, utf8
+from parcelwise.llm._common import col, materialize, mixed, others, slices, small_batches, text_key, utf8
 
 LENGTH = 200
 GRAM = 50
@@ -94,7 +94,7 @@ def _anchor_rows(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, 1 << 20):
                 texts = pc.fill_null(part.column(0), "")
                 doc, at, low, high, gram = anchors(texts)
                 raw = [t.encode() for t in texts.to_pylist()]
@@ -106,6 +106,7 @@ def _anchor_rows(docs: DataFrame, text: str) -> DataFrame:
                     names=["key", "at", "low", "high", "gram", "wide"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(col(text).cast("string").alias("t")).where(F.octet_length("t") >= LENGTH).mapInArrow(run, schema)
 
 

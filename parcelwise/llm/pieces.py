@@ -22,9 +22,9 @@ from parcelwise.llm._common import add_columns
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words in each of the two generations of a worker's cache: when one is full, the one before goes.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Compatible and incompatible pairs in a worker's cache.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 400_000
 
 
 class PrefixTable:
@@ -174,6 +174,10 @@ class PrefixTable:
             found.append(got)
         return ",".join([s for s, _ in found]), list(chain.from_iterable([ids for _, ids in found]))
 
+    def forget(self) -> None:
+        """Lets the words go: idle workers live on, beside whatever runs next."""
+        self.words, self.older = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids) if ids else ""
 
@@ -212,6 +216,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", keep: li
                 return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())]
             return [pa.array(ids, pa.list_(pa.int32())), pa.array(out, pa.string())]
 
+        work.done = tab.forget
         return work
 
     if digests:
