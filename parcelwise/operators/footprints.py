@@ -118,7 +118,7 @@ def contours(labelled: DataFrame, least_area: float = LEAST_AREA, epsilon: float
         closed = list(zip(ring, ring[1:] + ring[:1], strict=True))
         size = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in closed)) / 2
         if size < least_area:
-            return pd.DataFrame({"image_id": [], "area_pixels": [], "polygon": []})
+            return pd.DataFrame({"image_id": [], "area_pixels": [], "polygon": []}, dtype=object)
         length = sum(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a, b in closed)
         return pd.DataFrame({"image_id": [runs.image_id.iloc[0]], "area_pixels": [float(size)], "polygon": [[[float(x), float(y)] for x, y in _simplified(ring, epsilon * length)]]})
 
