@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +19,36 @@ def image_pairs(images: DataFrame, image: str = "image") -> DataFrame:
     return a.join(b, F.col("image_a") < F.col("image_b"))
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
+def _matrix(row: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes and vectors of an image's descriptors."""
+    vectors = row.values.field(1)
+    return row.values.field(0).to_numpy(), vectors.flatten().to_numpy().reshape(len(vectors), -1)
 
 
 def nearest_two(pairs: DataFrame, descriptors: DataFrame) -> DataFrame:
-    """(image_a, image_b, kp_idx, n, d1, d2): each descriptor of a against all of b, by an equal join on the pair; n is 2 at most.
+    """(image_a, image_b, kp_idx, n, d1, d2): each descriptor of a against all of b; n, the neighbours found, is 2 at most.
 
-    The two least distances are kept by a map-side aggregate, so the compared pairs of descriptors are never shuffled.
+    A pair is one row with both images' descriptors, which a detector's limit bounds; distances are worked out in blocks.
     """
     d = descriptors.select("image", "kp_idx", F.transform("descriptor", lambda x: x.cast("double")).alias("v"))
-    a, b = d.select(F.col("image").alias("image_a"), "kp_idx", F.col("v").alias("va")), d.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("kp_idx", "v"))).alias("all")).withColumnRenamed("image", "image_b")
-    each = pairs.join(a, "image_a").join(b, "image_b")
-    near = F.slice(F.sort_array(F.transform("all", lambda q: _distance(F.col("va"), q["v"]))), 1, 2)
-    return each.select("image_a", "image_b", "kp_idx", near.alias("near")).select("image_a", "image_b", "kp_idx", F.size("near").alias("n"), F.get("near", F.lit(0)).alias("d1"), F.get("near", F.lit(1)).alias("d2"))
+    every = d.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("kp_idx", "v"))).alias("d"))
+    side = lambda k: every.select(F.col("image").alias(f"image_{k}"), F.col("d").alias(k))
+    both = pairs.select("image_a", "image_b").join(side("a"), "image_a").join(side("b"), "image_b").select("image_a", "image_b", "a", "b")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (index, a), (_, b) = _matrix(batch.column(2)[i]), _matrix(batch.column(3)[i])
+                near = np.full((len(a), 2), np.inf)
+                for at in range(0, len(a), 64):
+                    off = np.sqrt(((a[at : at + 64, None, :] - b[None]) ** 2).sum(2))
+                    near[at : at + 64, : min(2, len(b))] = np.sort(np.partition(off, min(1, len(b) - 1), 1)[:, :2], 1)
+                n = len(a)
+                one = [batch.column(k).take(pa.array(np.full(n, i))) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*one, pa.array(index), pa.array(np.full(n, min(2, len(b)), np.int32)), pa.array(near[:, 0]), pa.array(near[:, 1], mask=np.full(n, len(b) < 2))], names=["image_a", "image_b", "kp_idx", "n", "d1", "d2"])
+
+    kind, index = both.schema["image_a"].dataType.simpleString(), d.schema["kp_idx"].dataType.simpleString()
+    return both.mapInArrow(run, f"image_a {kind}, image_b {kind}, kp_idx {index}, n int, d1 double, d2 double")
 
 
 def ratio_matches(pairs: DataFrame, descriptors: DataFrame, ratio: float = RATIO) -> DataFrame:
