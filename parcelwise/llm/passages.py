@@ -132,7 +132,7 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     span = lambda lo, hi: F.struct((F.col("at") - hi).cast("int").alias("lo"), (F.col("at") - lo).cast("int").alias("hi")).alias("span")
     found = [some.where("hit").select("key", span(F.col("low"), F.col("high")))]
     # the contexts that are left, cut out of their texts once
-    open_grams = some.where("not hit").select("gram").distinct()
+    open_grams = materialize(some.where("not hit").select("gram").distinct(), "span-open-grams")
     left = some.where("not hit or witness").join(open_grams, "gram", "left_semi").groupBy("key").agg(F.collect_set(F.struct("at", "low", "high", "gram", F.col("hit").alias("settled"))).alias("items"))
     texts = docs.select(text_key(col(text).cast("string")).alias("key"), col(text).cast("string").cast("binary").alias("raw")).join(left, "key")
     low_cell = lambda x: (x / CELL).cast("int")
@@ -154,7 +154,7 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     lo, hi = F.greatest(F.col("low").cast("int"), first), F.least(F.col("high").cast("int"), last)
     found.append(cells.where("hit and not settled").select("key", span(lo, hi)))
     # 3: single offsets
-    open_cells = cells.where("not hit and not settled").select("gram", "cell", "core").distinct()
+    open_cells = materialize(cells.where("not hit and not settled").select("gram", "cell", "core").distinct(), "span-open-cells")
     singles = cells.where("not hit or witness").join(open_cells, ["gram", "cell", "core"], "left_semi").groupBy("key", "at").agg(F.collect_set(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("ranges"))
     ones = contexts.join(singles, ["key", "at"]).select("key", "at", "gram", "begin", "context", F.explode(F.flatten(F.transform("ranges", lambda r: F.sequence(r["lo"], r["hi"])))).alias("offset"))
     ones = materialize(ones.select("key", "at", "gram", "offset", F.xxhash64(part(F.col("offset"), F.col("offset"))).alias("one")).distinct(), "span-ones")
