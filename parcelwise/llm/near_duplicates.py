@@ -9,8 +9,10 @@ exactly from their texts before they are linked. Classes are the connected compo
 
 Equal texts are one node from the start. In a band's bucket every two nodes are candidates if there are few; larger buckets
 are dealt to parts of about PART nodes with the same done in each, and all are candidates with the bucket's leader, another one
-in each band: links stay linear in the number of nodes and nothing is capped. Candidates that are already connected by verified
-links needn't be verified.
+in each band. Candidates that are already connected by verified links needn't be verified. What parts and leaders leave is done
+last: where a large bucket's nodes are still in several classes, all outside its largest class are held against the whole
+bucket, in blocks, by their signatures, and pairs of different classes that agree in AGREE registers are verified too. Links are
+thus whole but for the chance of bands and registers, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ RUN = 5
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 SMALL, PART = 16, 8
+#: Registers in which pairs agree at least to be verified (a similarity of 0.8 falls short with probability 4e-6); nodes of a block and of what it meets at once.
+AGREE, BLOCK, CHUNK = 82, 128, 1024
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -129,20 +133,25 @@ def _bands(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 band = mixed(band * np.uint64(_BASE) + who[:, r * BANDS : (r + 1) * BANDS])
             some = n > 0
             offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-            return [pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[some].ravel().view(np.int64)))]
+            signature = [x.tobytes() for x in (who & np.uint64(255)).astype(np.uint8)]
+            return [pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[some].ravel().view(np.int64))), pa.array(signature, pa.binary())]
 
         return work
 
     src = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
-    return add_columns(src, "text", [T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))], make, ["doc_id"], 1 << 20)
+    return add_columns(src, "text", [T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())], make, ["doc_id"], 1 << 20)
 
 
-def _candidates(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of keys to be verified."""
+def _members(signed: DataFrame) -> DataFrame:
+    """(bucket, r, least, key) of the buckets with two nodes or more; r orders a bucket's nodes, and its leader has the least."""
     each = signed.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
     each = each.withColumn("r", F.xxhash64("bucket", "key"))
     shared = materialize(each.groupBy("bucket").agg(F.min("r").alias("least"), F.max("r").alias("most")).where("least < most").select("bucket", "least"), "near-buckets")
-    members = materialize(each.join(shared, "bucket").groupBy("bucket", "r", "least", "key").agg(F.lit(1)).select("bucket", "r", "least", "key"), "near-members")
+    return materialize(each.join(shared, "bucket").groupBy("bucket", "r", "least", "key").agg(F.lit(1)).select("bucket", "r", "least", "key"), "near-members")
+
+
+def _candidates(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of keys to be verified."""
     sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
     part = F.when(F.col("n") > SMALL, F.pmod(F.xxhash64("key", "r"), F.ceil(F.col("n") / PART))).otherwise(F.lit(0).cast("long"))
     parts = sized.groupBy("bucket", part.alias("part")).agg(F.sort_array(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1)
@@ -153,6 +162,44 @@ def _candidates(signed: DataFrame) -> DataFrame:
     return materialize(within.unionByName(star).groupBy("a", "b").agg(F.lit(1)).select("a", "b"), "near-pairs")
 
 
+def _meet(batches):
+    """Pairs (a, b) of different classes that agree, from rows of two lists of key, class and signature in one binary."""
+    wide = 32 + REGISTERS
+    for batch in batches:
+        for left, right in zip(batch.column(0), batch.column(1), strict=True):
+            x, y = (np.frombuffer(b"".join(side.as_py()), np.uint8).reshape(-1, wide) for side in (left, right))
+            own, signature = y[:, 16:32], np.ascontiguousarray(y[:, 32:])
+            found = []
+            for one in x:
+                near = np.flatnonzero((signature == one[32:]).sum(1) >= AGREE)
+                near = near[(own[near] != one[16:32]).any(1)]
+                key = one[:16].tobytes()
+                found += [(min(key, k), max(key, k)) for k in (y[j, :16].tobytes() for j in near)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _across(members: DataFrame, signed: DataFrame, root: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, not in known, within buckets over SMALL, of different classes and with signatures that agree."""
+    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("bucket")
+    mine = members.join(large, "bucket").select("bucket", "key").join(root.select(F.col("u").alias("key"), F.col("v").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    mine = materialize(mine, "near-large")
+    per = mine.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    parted = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most")).where("most.n < n")
+    parted = materialize(parted.select("bucket", "n", (F.col("n") - F.col("most.n")).alias("outside"), F.col("most.class").alias("main")), "near-parted")
+    held = mine.join(parted, "bucket")
+    wanted = materialize(held.select("key").distinct(), "near-parted-keys")
+    registers = rows_with(signed.select("key", "signature"), wanted, "key").dropDuplicates(["key"])
+    held = materialize(held.join(registers, "key").withColumn("node", F.concat("key", "class", "signature")), "near-parted-nodes")
+    spread = F.xxhash64("key", "bucket")
+    chunks = F.ceil(F.col("n") / CHUNK)
+    whole = held.groupBy("bucket", F.pmod(spread, chunks).alias("chunk")).agg(F.collect_list("node").alias("right"))
+    block = F.pmod(F.xxhash64(F.lit(1), spread), F.ceil(F.col("outside") / BLOCK))
+    blocks = held.where("class != main").groupBy("bucket", "n", block.alias("block")).agg(F.collect_list("node").alias("left"))
+    met = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).join(whole, ["bucket", "chunk"]).select("left", "right")
+    found = met.mapInArrow(_meet, "a binary, b binary").distinct()
+    return materialize(found.join(known, ["a", "b"], "left_anti"), "near-across")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
     """The pairs whose texts are at least so similar, as (u, v)."""
     wanted = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "near-wanted")
@@ -180,7 +227,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     Null and empty texts, and texts without words, are equal only to those of the same bytes (null counts as empty).
     """
     signed = materialize(_bands(docs, text, doc_id), "near-bands")
-    pairs = _candidates(signed)
+    members = _members(signed)
+    pairs = _candidates(members)
     first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
     links = materialize(_verified(first, docs, text, threshold), "near-links")
     root = components(links)
@@ -190,6 +238,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     rest = materialize(rest.where("ca != cb").select("a", "b"), "near-rest")
     more = materialize(_verified(rest, docs, text, threshold), "near-more")
     root = components(root.unionByName(more))
+    across = _across(members, signed, root, pairs)
+    if not across.isEmpty():
+        root = components(root.unionByName(materialize(_verified(across, docs, text, threshold), "near-last")))
     return signed.select("doc_id", "key").join(root.select(F.col("u").alias("key"), F.col("v").alias("__root")), "key", "left").select("doc_id", "key", F.coalesce("__root", "key").alias("class"))
 
 

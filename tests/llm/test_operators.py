@@ -239,6 +239,26 @@ def test_near_duplicates(spark):
     assert len(one) == len(kept) and bag((r.doc_id,) for r in one) == bag((r.doc_id,) for r in got if r.kept)
 
 
+def test_near_duplicates_of_one_template(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(400):
+        edited = list(base)
+        for _ in range(rng.choice([4, 8, 12, 14, 16, 18])):
+            edited[rng.randrange(len(edited))] = f"w{rng.randrange(5000)}"
+        rows.append((i, " ".join(edited)))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    runs = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if want[i] != want[j] and len(runs[i] & runs[j]) >= 0.8 * len(runs[i] | runs[j]):
+                one, other = sorted((want[i], want[j]))
+                want = [one if c == other else c for c in want]
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
+
+
 def test_signatures_estimate_similarity():
     words = prose(300).split()
     texts = [" ".join(words), " ".join(words[:40] + ["x"] + words[41:]), " ".join(words[:150]) + " " + prose(150)]
