@@ -304,7 +304,7 @@ def polygon_clip(spark, sf_dir):
 @query()
 def ransac(spark, sf_dir):
     """Points of two views by arithmetic, some of them wrong."""
-    li = read(spark, sf_dir, "lineitem").where("l_suppkey < 40").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    li = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
     xa, ya = F.pmod(F.col("l_partkey") * 37, F.lit(640)).cast("double"), F.pmod(F.col("l_partkey") * 91 + F.col("q"), F.lit(480)).cast("double")
     wrong = F.pmod("l_partkey", F.lit(4)) == 0
     points = li.select(F.col("l_suppkey").alias("image_a"), (F.col("l_suppkey") + 1).alias("image_b"), xa.alias("xa"), ya.alias("ya"), F.when(wrong, ya).otherwise(0.9 * xa - 0.1 * ya + 12).alias("xb"), F.when(wrong, xa).otherwise(0.1 * xa + 0.9 * ya - 5).alias("yb"))
