@@ -7,12 +7,13 @@ later than all registers hold. Two documents agree in a register with the probab
 similarity. Signatures are cut into bands; documents that share a band are candidates, and their similarity is worked out
 exactly from their texts before they are linked. Classes are the connected components of the links.
 
-Equal texts are one node from the start. In a band's bucket every two nodes are candidates if there are few; larger buckets
-are dealt to parts of about PART nodes with the same done in each, and all are candidates with the bucket's leader, another one
-in each band. Candidates that are already connected by verified links needn't be verified. What parts and leaders leave is done
-last: where a large bucket's nodes are still in several classes, all outside its largest class are held against the whole
-bucket, in blocks, by their signatures, and pairs of different classes that agree in AGREE registers are verified too. Links are
-thus whole but for the chance of bands and registers, and no bucket is capped.
+Equal texts are one node from the start. In a band's bucket every two nodes meet if there are few; larger buckets are dealt to
+parts of about PART nodes with the same done in each, and all meet the bucket's leader, another one in each band. Those that meet
+are candidates if they agree in AGREE registers. Each node's most alike candidates are verified first, then those that verified
+links don't connect already. What parts and leaders leave is done last: where a large bucket's nodes are still in several classes,
+all outside its largest class meet the whole bucket, in blocks, by longer signatures of one bit a register, and pairs of different
+classes that agree in AGREE_BITS of them are verified too. Links are thus whole but for the chance of bands and registers, and no
+bucket is capped.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ RUN = 5
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 SMALL, PART = 16, 8
-#: Registers in which pairs agree at least to be verified (a similarity of 0.8 falls short with probability 4e-6); nodes of a block and of what it meets at once.
+#: Registers in which pairs agree at least to be verified (a similarity of 0.8 falls short with a probability of about 1e-5 in each); nodes of a block and of what it meets at once.
 AGREE, BLOCK, CHUNK = 82, 128, 1024
+BITS, AGREE_BITS = 1024, 878
+#: Texts whose long signatures are made at once, and rows that are held against a list at once.
+TOGETHER, STEP = 256, 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -80,10 +84,10 @@ def weight(times: np.ndarray) -> np.ndarray:
     return np.where(times > 0, 1 + np.log(np.maximum(times, 1)), 0.0)
 
 
-def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The element in each register of each text, and the number of different runs."""
+def signatures(texts: pa.Array, m: int = REGISTERS) -> tuple[np.ndarray, np.ndarray]:
+    """The element in each of m registers (a power of 2) of each text, and the number of different runs."""
     doc, run, times = shingles(texts)
-    m, n = REGISTERS, len(texts)
+    n = len(texts)
     best, who = np.full(n * m, np.inf), np.zeros(n * m, np.uint64)
     when, live, heavy = np.zeros(len(run)), np.arange(len(run)), weight(times)
     odd, add = mixed(run + np.uint64(1)) | np.uint64(1), mixed(run + np.uint64(2))
@@ -103,6 +107,16 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return who.reshape(n, m), np.bincount(doc, minlength=n)
 
 
+def long_signatures(texts: pa.Array) -> list[bytes]:
+    """One bit of the element in each of BITS registers, another bit in each; two texts agree in (1 + similarity) / 2 of them."""
+    found: list[bytes] = []
+    place = np.arange(BITS, dtype=np.uint64) * np.uint64(_BASE)
+    for at in range(0, len(texts), TOGETHER):
+        who, _ = signatures(texts.slice(at, TOGETHER), BITS)
+        found += [x.tobytes() for x in np.packbits((mixed(who + place) & np.uint64(1)).astype(np.uint8), axis=1)]
+    return found
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard of two (sorted hashes, times): the sum, over shared elements, of their share of the whole where each is scaled to 1."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -150,36 +164,44 @@ def _members(signed: DataFrame) -> DataFrame:
     return materialize(each.join(shared, "bucket").groupBy("bucket", "r", "least", "key").agg(F.lit(1)).select("bucket", "r", "least", "key"), "near-members")
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of keys to be verified."""
+def _meeting(least: int, bits: bool):
+    """For mapInArrow: pairs (a, b, agree), a < b, of different classes that agree in so many registers, from rows of two lists of key, class and signature in one binary."""
+
+    def meet(batches):
+        for batch in batches:
+            found = []
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = (np.frombuffer(b"".join(side.as_py()), np.uint8).reshape(-1, 32 + REGISTERS if not bits else 32 + BITS // 8) for side in (left, right))
+                sign = [np.ascontiguousarray(z[:, 32:]).view(np.uint64 if bits else np.uint8) for z in (x, y)]
+                for at in range(0, len(x), STEP):
+                    one, other = sign[0][at : at + STEP, None], sign[1][None]
+                    agree = BITS - np.bitwise_count(one ^ other).sum(2, dtype=np.int64) if bits else np.count_nonzero(one == other, axis=2)
+                    i, j = np.nonzero(agree >= least)
+                    apart = (x[at + i, 16:32] != y[j, 16:32]).any(1)
+                    i, j = i[apart], j[apart]
+                    for p, q, n in zip(i, j, agree[i, j].tolist(), strict=True):
+                        k, o = x[at + p, :16].tobytes(), y[q, :16].tobytes()
+                        found.append((min(k, o), max(k, o), n))
+            found = sorted(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "agree"])
+
+    return meet
+
+
+def _candidates(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b, agree), a < b, of keys to be verified, and the registers in which they agree."""
+    registers = signed.where(F.size("bands") > 0).select("key", "signature").dropDuplicates(["key"])
     sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    nodes = materialize(sized.join(registers, "key").select("bucket", "r", "least", "key", "n", F.concat("key", "key", "signature").alias("node")), "near-nodes")
     part = F.when(F.col("n") > SMALL, F.pmod(F.xxhash64("key", "r"), F.ceil(F.col("n") / PART))).otherwise(F.lit(0).cast("long"))
-    parts = sized.groupBy("bucket", part.alias("part")).agg(F.sort_array(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1)
-    within = parts.select("keys", F.posexplode("keys").alias("i", "a")).select("a", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("b"))
-    leaders = members.where("r = least").select("bucket", F.col("key").alias("leader"))
-    led = sized.where((F.col("n") > SMALL) & (F.col("r") != F.col("least"))).select("bucket", "key").join(leaders, "bucket")
-    star = led.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
-    return materialize(within.unionByName(star).groupBy("a", "b").agg(F.lit(1)).select("a", "b"), "near-pairs")
-
-
-def _meet(batches):
-    """Pairs (a, b) of different classes that agree, from rows of two lists of key, class and signature in one binary."""
-    wide = 32 + REGISTERS
-    for batch in batches:
-        for left, right in zip(batch.column(0), batch.column(1), strict=True):
-            x, y = (np.frombuffer(b"".join(side.as_py()), np.uint8).reshape(-1, wide) for side in (left, right))
-            own, signature = y[:, 16:32], np.ascontiguousarray(y[:, 32:])
-            found = []
-            for one in x:
-                near = np.flatnonzero((signature == one[32:]).sum(1) >= AGREE)
-                near = near[(own[near] != one[16:32]).any(1)]
-                key = one[:16].tobytes()
-                found += [(min(key, k), max(key, k)) for k in (y[j, :16].tobytes() for j in near)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+    parts = nodes.groupBy("bucket", part.alias("part")).agg(F.collect_list("node").alias("left"))
+    leaders = nodes.where((F.col("r") == F.col("least")) & (F.col("n") > SMALL)).select("bucket", F.array("node").alias("leader"))
+    met = parts.join(leaders, "bucket", "left").select("left", F.when(F.col("leader").isNull(), F.col("left")).otherwise(F.concat("left", "leader")).alias("right"))
+    return materialize(met.where(F.size("right") > 1).mapInArrow(_meeting(AGREE, False), "a binary, b binary, agree int").distinct(), "near-pairs")
 
 
-def _across(members: DataFrame, signed: DataFrame, root: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, not in known, within buckets over SMALL, of different classes and with signatures that agree."""
+def _across(members: DataFrame, docs: DataFrame, text: str, root: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, not in known, within buckets over SMALL, of different classes and with long signatures that agree."""
     large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("bucket")
     mine = members.join(large, "bucket").select("bucket", "key").join(root.select(F.col("u").alias("key"), F.col("v").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "key"))
     mine = materialize(mine, "near-large")
@@ -188,7 +210,8 @@ def _across(members: DataFrame, signed: DataFrame, root: DataFrame, known: DataF
     parted = materialize(parted.select("bucket", "n", (F.col("n") - F.col("most.n")).alias("outside"), F.col("most.class").alias("main")), "near-parted")
     held = mine.join(parted, "bucket")
     wanted = materialize(held.select("key").distinct(), "near-parted-keys")
-    registers = rows_with(signed.select("key", "signature"), wanted, "key").dropDuplicates(["key"])
+    texts = rows_with(docs.select(text_key(col(text).cast("string")).alias("key"), col(text).cast("string").alias("text")), wanted, "key").dropDuplicates(["key"])
+    registers = add_columns(texts, "text", [T.StructField("signature", T.BinaryType())], lambda: lambda t: [pa.array(long_signatures(t), pa.binary())], ["key"], 1 << 20)
     held = materialize(held.join(registers, "key").withColumn("node", F.concat("key", "class", "signature")), "near-parted-nodes")
     spread = F.xxhash64("key", "bucket")
     chunks = F.ceil(F.col("n") / CHUNK)
@@ -196,7 +219,7 @@ def _across(members: DataFrame, signed: DataFrame, root: DataFrame, known: DataF
     block = F.pmod(F.xxhash64(F.lit(1), spread), F.ceil(F.col("outside") / BLOCK))
     blocks = held.where("class != main").groupBy("bucket", "n", block.alias("block")).agg(F.collect_list("node").alias("left"))
     met = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).join(whole, ["bucket", "chunk"]).select("left", "right")
-    found = met.mapInArrow(_meet, "a binary, b binary").distinct()
+    found = met.mapInArrow(_meeting(AGREE_BITS, True), "a binary, b binary, agree int").select("a", "b").distinct()
     return materialize(found.join(known, ["a", "b"], "left_anti"), "near-across")
 
 
@@ -228,8 +251,10 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     """
     signed = materialize(_bands(docs, text, doc_id), "near-bands")
     members = _members(signed)
-    pairs = _candidates(members)
-    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
+    pairs = _candidates(members, signed)
+    # each node's most alike partners come first: most links of a class are then never needed
+    best = [pairs.groupBy(one).agg(F.max(F.struct("agree", other)).alias("best")).select(one, f"best.{other}").select("a", "b") for one, other in ("ab", "ba")]
+    first = materialize(best[0].unionByName(best[1]).distinct(), "near-first")
     links = materialize(_verified(first, docs, text, threshold), "near-links")
     root = components(links)
     rest = pairs.join(first, ["a", "b"], "left_anti")
@@ -238,7 +263,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     rest = materialize(rest.where("ca != cb").select("a", "b"), "near-rest")
     more = materialize(_verified(rest, docs, text, threshold), "near-more")
     root = components(root.unionByName(more))
-    across = _across(members, signed, root, pairs)
+    across = _across(members, docs, text, root, pairs)
     if not across.isEmpty():
         root = components(root.unionByName(materialize(_verified(across, docs, text, threshold), "near-last")))
     return signed.select("doc_id", "key").join(root.select(F.col("u").alias("key"), F.col("v").alias("__root")), "key", "left").select("doc_id", "key", F.coalesce("__root", "key").alias("class"))
