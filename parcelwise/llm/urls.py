@@ -1,9 +1,9 @@
 """URL filters: rules by host and path, and a character language-model ratio, with DataFrame functions only.
 
-URLs that a rule accepts or rejects teach two variable-order Markov models of characters. Every count is over all of them;
-n-grams are hashed to CELLS cells an order, so the models have a fixed size. A URL that no rule fits is scored by the mean,
-over its characters, of the log-likelihood difference at the longest context that either model has seen, and judged by the
-threshold that parts the rules' own URLs best (the middle one of several).
+URLs that a rule accepts or rejects teach two variable-order Markov models of characters, with the counts of every n-gram and of
+its own context; the tables grow with the input. A URL that no rule fits is scored by the mean, over its characters, of the
+log-likelihood difference at the longest n-gram that the models know, and judged by the threshold that parts the rules' own
+URLs best (the middle one of several).
 """
 
 from __future__ import annotations
@@ -16,15 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelwise.llm._common import col, materialize, others
+from parcelwise.llm._common import col, materialize, others, text_key
 
 #: (host and path, verdict)
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 ORDERS = 5
-CELLS = 1 << 14
 #: Counts under this don't make a context known.
 LEAST = 2
 SMOOTH = 0.5
+#: N-grams at more than 1 / HEAVY of all places (so fewer than HEAVY) are joined by broadcast, that no task gets all places of one.
+HEAVY = 10_000
+#: Differences are summed in whole units of 1 / UNIT: sums don't hang on the order.
+UNIT = 1_000_000_000
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -47,45 +50,50 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _cell(text: Column, order: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(order), text), F.lit(CELLS)).cast("int")
+def _places(texts: DataFrame) -> DataFrame:
+    """A row for each character of the column `said` and for its end: `gram`, the ORDERS characters up to there (start marks before the text)."""
+    marked = texts.withColumn("__t", F.concat(F.lit("\x02" * ORDERS), "said", F.lit("\x03"))).select("*", F.explode(F.sequence(F.lit(ORDERS + 1), F.length("__t"))).alias("__i"))
+    return marked.withColumn("gram", F.substr(F.col("__t"), F.col("__i") - (ORDERS - 1), F.lit(ORDERS))).drop("__t", "__i", "said")
 
 
-def _positions(texts: DataFrame) -> DataFrame:
-    """A row for each character of the column `said`, with what is before it at place `i` (1 is the start mark)."""
-    return texts.withColumn("__t", F.concat(F.lit("\x02" * ORDERS), "said", F.lit("\x03"))).select("*", F.explode(F.sequence(F.lit(ORDERS + 1), F.length("__t"))).alias("__i"))
-
-
-def _gram(order: int) -> Column:
-    """The n-gram of order + 1 characters that ends at the place."""
-    return F.substr(F.col("__t"), F.col("__i") - order, F.lit(order + 1))
+def _ends() -> Column:
+    """The 1 to ORDERS last characters of `gram`."""
+    return F.array(*[F.right("gram", F.lit(k)) for k in range(1, ORDERS + 1)])
 
 
 def fit(labelled: DataFrame) -> DataFrame:
-    """(order, cell, ratio) from rows (said, verdict); at most ORDERS * CELLS rows, whatever the input."""
-    at = _positions(labelled.groupBy("said", "verdict").agg(F.count(F.lit(1)).alias("__n")))
-    each = [F.struct(F.lit(k).alias("order"), _cell(_gram(k), k).alias("cell"), (_cell(F.substr(F.col("__t"), F.col("__i") - k, F.lit(k)), 100 + k) if k else F.lit(0)).alias("before")) for k in range(ORDERS)]
-    a, r = (F.sum(F.when(F.col("verdict") == v, F.col("__n")).otherwise(0)) for v in ("allow", "block"))
-    grams = at.select("verdict", "__n", F.inline(F.array(*each))).groupBy("order", "cell", "before").agg(a.alias("a"), r.alias("r"))
-    grams = materialize(grams, "url-grams")
-    contexts = grams.groupBy("order", "before").agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
+    """(gram, ratio) from rows (said, verdict): a row for each n-gram of up to ORDERS characters that is seen LEAST times."""
+    counts = [F.sum(F.when(F.col("verdict") == v, F.col("__n")).otherwise(0)).alias(n) for v, n in (("allow", "a"), ("block", "r"))]
+    full = _places(labelled.groupBy("said", "verdict").agg(F.count(F.lit(1)).alias("__n"))).groupBy("gram").agg(*counts)
+    grams = full.select(F.explode(_ends()).alias("gram"), "a", "r").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    grams = materialize(grams.withColumn("before", F.left("gram", F.length("gram") - 1)), "url-grams")
+    contexts = grams.groupBy("before").agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
     size = float(len(string.printable))
-    model = grams.join(contexts, ["order", "before"]).withColumn("d", F.log((F.col("a") + SMOOTH) / (F.col("ca") + SMOOTH * size)) - F.log((F.col("r") + SMOOTH) / (F.col("cr") + SMOOTH * size)))
-    heaviest = F.max_by("d", F.struct(F.col("a") + F.col("r"), "before"))
-    return materialize(model.where(F.col("a") + F.col("r") >= LEAST).groupBy("order", "cell").agg(heaviest.alias("ratio")), "url-model")
+    ratio = F.log((F.col("a") + SMOOTH) / (F.col("ca") + SMOOTH * size)) - F.log((F.col("r") + SMOOTH) / (F.col("cr") + SMOOTH * size))
+    return materialize(grams.where(F.col("a") + F.col("r") >= LEAST).join(contexts, "before").select("gram", ratio.alias("ratio")), "url-model")
 
 
 def score(texts: DataFrame, model: DataFrame) -> DataFrame:
-    """(said, ratio) for each different `said`: the mean difference, positive where it looks accepted; 0 where nothing is known.
+    """(key, ratio) for each different `said`, key its text_key: the mean difference, positive where it looks accepted; 0 where nothing is known.
 
-    The model is broadcast: ORDERS * CELLS rows bound it.
+    The different n-grams of the texts look theirs up first, one length after another, so that a short one meets only its
+    extensions by a character; then places look up their n-gram's.
     """
-    at = _positions(texts.select("said").distinct())
-    for k in range(ORDERS):
-        part = F.broadcast(model.where(F.col("order") == k).select(F.col("cell").alias(f"__c{k}"), F.col("ratio").alias(f"__r{k}")))
-        at = at.join(part, _cell(_gram(k), k) == F.col(f"__c{k}"), "left")
-    longest = F.coalesce(*[F.col(f"__r{k}") for k in reversed(range(ORDERS))], F.lit(0.0))
-    return at.groupBy("said").agg(F.avg(longest).alias("ratio"))
+    places = _places(texts.select("said", text_key(F.col("said")).alias("key")).dropDuplicates(["key"]))
+    seen = materialize(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "url-seen")
+    known = materialize(seen.select(F.explode(_ends()).alias("gram")).distinct().join(model, "gram", "left"), "url-known")
+    told = known.where(F.length("gram") == 1).select("gram", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+    for k in range(2, ORDERS + 1):
+        shorter = told.select(F.col("gram").alias("__end"), F.col("ratio").alias("__shorter"))
+        longer = known.where(F.length("gram") == k).withColumn("__end", F.right("gram", F.lit(k - 1)))
+        told = longer.join(shorter, "__end").select("gram", F.coalesce("ratio", "__shorter").alias("ratio"))
+    told = materialize(seen.join(told, "gram").select("gram", "n", F.rint(F.col("ratio") * UNIT).cast("long").alias("units")), "url-told")
+    heavy = F.col("n") * HEAVY > F.lit(told.agg(F.sum("n")).first()[0] or 0)
+    frequent, rest = told.where(heavy).select("gram", "units"), told.where(~heavy).select("gram", "units")
+    sums = [F.sum("units").alias("units"), F.count(F.lit(1)).alias("n")]
+    near = places.join(F.broadcast(frequent), "gram").groupBy("key").agg(*sums)
+    far = places.join(F.broadcast(frequent), "gram", "left_anti").join(rest, "gram").groupBy("key").agg(*sums)
+    return near.unionByName(far).groupBy("key").agg((F.sum("units") / F.sum("n") / UNIT).alias("ratio"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -118,6 +126,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     texts = materialize(base.groupBy("said", F.col("__by_rule").alias("verdict")).agg(F.count(F.lit(1)).alias("n")), "url-texts")
     known = texts.where("verdict is not null")
     scored = materialize(score(texts, fit(known)), "url-scores")
-    bound = threshold(known.join(scored, "said"))
+    bound = threshold(known.withColumn("key", text_key(F.col("said"))).join(scored, "key"))
     verdict = F.coalesce("__by_rule", F.when((F.col("ratio") > F.lit(bound)) & (F.col("host") != ""), F.lit("allow")).otherwise(F.lit("block")))
-    return base.join(scored, "said", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0))).withColumn("verdict", verdict).drop("__by_rule", "said")
+    scored = scored.withColumnRenamed("key", "__key")
+    return base.withColumn("__key", text_key(F.col("said"))).join(scored, "__key", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0))).withColumn("verdict", verdict).drop("__by_rule", "__key", "said")

@@ -325,6 +325,32 @@ def test_url_models_tell_what_rules_teach(spark):
     assert got["http://q.org/news/5"].verdict == "allow" and got["http://q.org/es/5"].verdict == "block"
 
 
+def test_url_models_keep_every_ngram(spark):
+    # more 5-grams than any fixed table's cells; each keeps its own ratio, an unknown one backs off
+    rng = random.Random(5)
+    taught = [("".join(rng.choice("abcdefghij") for _ in range(30)), rng.choice(["allow", "block"])) for _ in range(3000)]
+    counts = {v: collections.Counter() for v in ("allow", "block")}
+    for said, v in taught:
+        t = "\x02" * 5 + said + "\x03"
+        counts[v].update(t[i - k : i + 1] for i in range(5, len(t)) for k in range(5))
+    before = {v: collections.Counter() for v in counts}
+    for v, c in counts.items():
+        for g, n in c.items():
+            before[v][g[:-1]] += n
+    known = {g for g in counts["allow"] | counts["block"] if counts["allow"][g] + counts["block"][g] >= 2}
+    ratio = lambda g: math.log((counts["allow"][g] + 0.5) / (before["allow"][g[:-1]] + 50)) - math.log((counts["block"][g] + 0.5) / (before["block"][g[:-1]] + 50))
+    model = urls.fit(spark.createDataFrame(taught, "said string, verdict string"))
+    got = {r.gram: r.ratio for r in model.collect()}
+    assert got.keys() == known and sum(len(g) == 5 for g in known) > 1 << 14
+    assert all(got[g] == pytest.approx(ratio(g), abs=1e-9) for g in known)
+    asked = [t for t, _ in taught[:50]] + ["zzz", "", "abcxyz012", "a" * 300]
+    scored = {bytes(r.key): r.ratio for r in urls.score(spark.createDataFrame([(t,) for t in asked], "said string"), model).collect()}
+    for said in asked:
+        t = "\x02" * 5 + said + "\x03"
+        each = [next((ratio(t[i - k : i + 1]) for k in (4, 3, 2, 1, 0) if t[i - k : i + 1] in known), 0.0) for i in range(5, len(t))]
+        assert scored[hashlib.md5(said.encode()).digest()] == pytest.approx(sum(each) / len(each), abs=1e-8)
+
+
 def test_html_pages(spark):
     import html as h
 
