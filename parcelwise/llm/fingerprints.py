@@ -3,8 +3,9 @@
 Each paragraph (a line, long ones in runs of PIECE characters) has a 64-bit digest. A digest is added to one cell in each third
 of a subtable of CELLS cells; a cell holds a count and the sums (exclusive or) of digests and of their checks. The sketches of two
 versions subtract cell by cell: what they share cancels, and peeling cells that hold one digest recovers the others. A sketch has
-subtables to the number of digests, so building and peeling take linear time; one where peeling gets stuck is built again with
-twice as many in its place, by another hash.
+subtables, a power of 2, to the number of digests, and the larger of two folds to the size of the smaller, so building and peeling
+take linear time. These sketches are what is returned and compared; only the digests of subtables in which peeling gets stuck are
+sketched again, by other hashes and, as long as it takes, with twice as many subtables in the place of one.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from parcelwise.llm._common import col, let, materialize, others
 PIECE = 128
 CELLS = 12
 THIRD = CELLS // 3
-#: Digests for each subtable, and attempts for one that gets stuck, each with twice the subtables.
+#: Digests for each subtable (of both texts), and attempts for one that gets stuck, each with twice the subtables.
 LOAD = 4
 ATTEMPTS = 14
+#: Chooses the cells of returned sketches, and of those built again (and from there on for each attempt).
+SEED, AGAIN = 0, 100
 #: Rows to a run of neighbours in ascending doc_id.
 RUN = 2000
 
@@ -101,13 +104,47 @@ def _total(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0), lambda n, x: n + x)
 
 
-def difference(one: Column, other: Column) -> Column:
-    """How many digests are in one of two arrays of different digests only, as peeling the subtracted sketches recovers them.
+def _tables(digests: Column) -> Column:
+    return _power(F.ceil(F.log2(F.greatest(F.lit(1.0), digests / F.lit(float(LOAD))))))
 
-    A subtable in which peeling gets stuck is built again with 2, 4, 8 ... subtables in its place, by other hashes.
+
+def sketch(keys: Column) -> Column:
+    """The subtables, each its cells, of an array of different digests."""
+
+    def build(entries: Column, tables: Column) -> Column:
+        coarse = _power(F.floor(F.log2(tables.cast("double")) / 2))
+
+        def deal(shape: Column) -> Column:
+            # subtable q holds the digests with q = p modulo the number of subtables
+            def part(i: Column) -> Column:
+                some = F.filter(entries, lambda e: F.floor(F.pmod(e["p"], shape["all"]) / shape["fine"]) == i)
+                return let(some, lambda s: F.transform(F.sequence(F.lit(0), shape["fine"] - 1), lambda j: let(F.filter(s, lambda e: F.pmod(e["p"], shape["fine"]) == j), _cells)))
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), shape["coarse"] - 1), part))
+
+        return let(F.struct(tables.alias("all"), coarse.alias("coarse"), (tables / coarse).cast("int").alias("fine")), deal)
+
+    return let(F.transform(keys, lambda k: _placed(k, F.lit(1), F.lit(SEED))), lambda e: build(e, _tables(2 * F.size(keys))))
+
+
+def peeled(one: Column, other: Column) -> Column:
+    """For each subtable of the smaller sketch, how many digests come out of the subtracted sketches; null where peeling gets stuck."""
+    tables = F.least(F.size(one), F.size(other))
+
+    def fold(x: Column, q: Column) -> Column:
+        rest = F.filter(F.sequence(q, F.size(x) - 1, tables), lambda i: i != q)
+        return F.aggregate(rest, F.get(x, q), lambda cells, i: F.zip_with(cells, F.get(x, i), lambda y, z: _merge(y, z, 1)))
+
+    return F.transform(F.sequence(F.lit(0), tables - 1), lambda q: _peel(F.zip_with(fold(one, q), fold(other, q), lambda y, z: _merge(y, z, -1)), F.lit(SEED)))
+
+
+def _again(one: Column, other: Column) -> Column:
+    """How many digests are in one of two arrays of different digests only, by sketches of other hashes, sized to both arrays.
+
+    A subtable in which peeling gets stuck is built again with 2, 4, 8 ... subtables in its place.
     """
-    seed = F.lit(100)
-    tables = _power(F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(one) + F.size(other)) / F.lit(float(LOAD))))))
+    seed = F.lit(AGAIN)
+    tables = _tables(F.size(one) + F.size(other))
     entries = F.concat(F.transform(one, lambda k: _placed(k, F.lit(1), seed)), F.transform(other, lambda k: _placed(k, F.lit(-1), seed)))
 
     def larger(m: Column) -> Column:
@@ -123,17 +160,26 @@ def difference(one: Column, other: Column) -> Column:
     return let(entries, lambda e: _total(_dealt(e, tables, seed, table)))
 
 
-def likeness(one: Column, other: Column) -> Column:
-    """1 for the same paragraphs, 0 for none in common; two texts without any are alike."""
-    both = F.size(one) + F.size(other)
-    return F.when(both == 0, F.lit(1.0)).otherwise(1 - difference(one, other) / both)
+def likeness(one: Column, other: Column, one_keys: Column, other_keys: Column) -> Column:
+    """1 for the same paragraphs, 0 for none in common, from two sketches; two texts without any are alike.
+
+    The sketches' digests (the keys) are looked at only where peeling gets stuck.
+    """
+    both = F.size(one_keys) + F.size(other_keys)
+
+    def differ(found: Column) -> Column:
+        stuck = lambda keys: F.filter(keys, lambda k: F.get(found, F.pmod(_placed(k, F.lit(1), F.lit(SEED))["p"], F.size(found)).cast("int")).isNull())
+        rest = let(F.struct(stuck(one_keys).alias("a"), stuck(other_keys).alias("b")), lambda x: _again(x["a"], x["b"]))
+        clear = _total(F.filter(found, lambda n: n.isNotNull()))
+        return F.when(F.exists(found, lambda n: n.isNull()), clear + rest).otherwise(clear)
+
+    return F.when(both == 0, F.lit(1.0)).otherwise(1 - let(peeled(one, other), differ) / both)
 
 
-def fingerprint(keys: Column) -> Column:
-    """The sketch with one subtable as text: for each cell count, sum of digests and of checks in hexadecimal."""
-    entries = F.transform(keys, lambda k: _placed(k, F.lit(1), F.lit(0)))
-    cells = let(entries, _cells)
-    return F.array_join(F.transform(cells, lambda x: F.when((x["n"] == 0) & (x["k"] == 0), F.lit("")).otherwise(F.concat_ws(".", F.hex(x["n"].cast("long")), F.hex(x["k"]), F.hex(x["h"])))), "-")
+def fingerprint(subtables: Column) -> Column:
+    """A sketch as text: for each cell count, sum of digests and of checks in hexadecimal, - between cells, / between subtables."""
+    cell = lambda x: F.when((x["n"] == 0) & (x["k"] == 0), F.lit("")).otherwise(F.concat_ws(".", F.hex(x["n"].cast("long")), F.hex(x["k"]), F.hex(x["h"])))
+    return F.array_join(F.transform(subtables, lambda cells: F.array_join(F.transform(cells, cell), "-")), "/")
 
 
 def next_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -165,7 +211,7 @@ def versions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """Fingerprints of each text and of its edited version, and their likeness.
 
     The edited version's last half is the start of the next document. Gives doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited and near_next. A null text is an empty one; an only document is its own next one. Rows with
+    edited_fingerprint, near_edited and near_next, both from these sketches (and the next document's). A null text is an empty one; an only document is its own next one. Rows with
     equal ids follow one another by text, null ids come first, repeated rows stay. Other columns aren't looked at.
     """
     t = next_texts(docs, text, doc_id)
@@ -174,7 +220,10 @@ def versions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     # `inline` keeps each step from being worked out again in the next
     t = t.select("doc_id", F.inline(F.array(F.struct(n.cast("long").alias("n_chars"), F.col("text"), F.col("next_text"), F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited")))))
     t = t.select("doc_id", "n_chars", F.inline(F.array(F.struct(F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("next")))))
+    sketches = F.struct(sketch(F.col("own")).alias("own_sketch"), sketch(F.col("new")).alias("new_sketch"), sketch(F.col("next")).alias("next_sketch"))
+    t = t.select("doc_id", "n_chars", "edited_sha256", "own", "new", "next", F.inline(F.array(sketches)))
+    near = lambda x: likeness(F.col("own_sketch"), F.col(f"{x}_sketch"), F.col("own"), F.col(x))
     return t.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own_sketch")).alias("fingerprint"), fingerprint(F.col("new_sketch")).alias("edited_fingerprint"),
+        near("new").alias("near_edited"), near("next").alias("near_next"),
     )

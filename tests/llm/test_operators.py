@@ -285,6 +285,29 @@ def test_fingerprints(odd, documents):
         assert [x for r in got for x in (r.near_edited, r.near_next)] == pytest.approx([x for w in want for x in w[3:]])
 
 
+def test_returned_fingerprints_peel(spark):
+    # read back from the returned text, the sketches alone tell what differs, for any number of paragraphs
+    rng = random.Random(8)
+    rows = [(i, "\n".join(prose(4, rng) for _ in range(n))) for i, n in enumerate([0, 1, 5, 40, 300, 300, 1200, 1200, 1200])]
+    got = sorted(fingerprints.versions(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+    def read(said):
+        whole = lambda x: x - (1 << 64) if x >> 63 else x
+        return [[tuple(whole(int(v, 16)) for v in cell.split(".")) if cell else (0, 0, 0) for cell in part.split("-")] for part in said.split("/")]
+
+    assert [len(read(r.fingerprint)) for r in got] == [1, 1, 4, 32, 256, 256, 1024, 1024, 1024]
+    kind = "array<array<struct<n int, k long, h long>>>"
+    pairs = spark.createDataFrame([(r.doc_id, read(r.fingerprint), read(r.edited_fingerprint)) for r in got], f"doc_id long, a {kind}, b {kind}")
+    for (_, found), (i, a), (_, b), r in zip(sorted(pairs.select("doc_id", fingerprints.peeled(F.col("a"), F.col("b"))).collect()), rows, rows[1:] + rows[:1], got, strict=True):
+        half = len(a) // 2
+        one, two = set(a.split("\n")) - {""}, set((a[: len(a) - half] + b[:half]).split("\n")) - {""}
+        n = len(one ^ two)
+        known = [x for x in found if x is not None]
+        assert len(known) >= 0.9 * len(found) - 1 and sum(known) >= 0.7 * n - 8
+        assert sum(known) == n or len(known) < len(found)
+        assert r.near_edited == pytest.approx(1 - n / (len(one) + len(two)) if one or two else 1.0)
+
+
 def test_language(documents):
     held = documents.withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.fit(held.where("not held_out"))
