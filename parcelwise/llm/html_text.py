@@ -22,10 +22,12 @@ from parcelwise.llm._common import add_columns
 
 PATH, WORDS, MEASURES, HIDDEN = 160, 48, 6, 20
 WIDTH = PATH + WORDS + MEASURES
-#: Elements whose content is never text.
-_RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "object", "canvas", "xmp")
+#: Elements whose content is never text: without an end tag, to the page's end; only up to an end tag; those that can close themselves.
+_RAW = ("script", "style")
+_SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("template", "textarea", "iframe", "title", "svg")}
+_EMPTY = {"svg", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mover", "mrow", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "q", "s", "samp", "semantics", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: An open element of the first kind ends where one of the second begins.
 _ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"}, "h1": None, "h2": None, "h3": None}
 _TOKEN = re.compile(
@@ -55,7 +57,12 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         said.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page or ""):
+    page = page or ""
+    unclosed: set[str] = set()
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         text = m["text"] or m["cdata"]
         if text:
             text = html.unescape(text) if m["text"] else text
@@ -66,6 +73,15 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
+        start = not (m["end"] or m["end2"])
+        if start and tag in _EMPTY and (m["attr"] or m["attr2"] or "").endswith("/"):
+            continue
+        if start and tag in _SKIPPED and tag not in unclosed:
+            end = _SKIPPED[tag].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(tag)
         if tag not in _INLINE:
             close()
         if m["end"] or m["end2"]:

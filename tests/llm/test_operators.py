@@ -398,3 +398,13 @@ def test_html_of_other_makes():
     assert right >= 0.97 * n
     assert html_text.extract_all([None, "", "<", "<p", "<script>x"], html_text.labeller())[:2] == ["", ""]
     assert [b[1] for b in html_text.blocks("<p>a&amp;b <b>c</b>d\n\n e<br>f<style>x</style><!-- y --><p title='>'>g")] == ["a&b cd e", "f", "g"]
+
+
+def test_html_drops_no_text_after_or_in_other_elements():
+    said = lambda page: " ".join(b[1] for b in html_text.blocks(page))
+    for tag in ('<svg class="i"/>', "<math/>", "<svg>", "<object data=x>", "<canvas>", "<iframe src=x>", "<template>"):
+        assert said(f"<article><p>one</p>{tag}<p>two</p><p>three</p></article>") == "one two three"
+    for tag in ("math", "noscript", "object", "canvas", "xmp"):
+        assert said(f"<p>one <{tag}>two</{tag}> three</p>") == "one two three"
+    assert said("<p>a<svg><text>b</text></svg>c<style>d</style><iframe>e</iframe>f<script>g") == "acf"
+    assert [b[1] for b in html_text.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here")] == ["so x=2 here"]
