@@ -77,8 +77,8 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def rows_with(df: DataFrame, keys: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
-    """df's rows whose value of `on` is in keys (written tables, one such column); keys go to all executors up to `most` rows, else both sides are shuffled."""
+def rows_with(df: DataFrame, keys: DataFrame, on: str, most: int = 250_000) -> DataFrame:
+    """df's rows whose value of `on` is in keys (written tables, one such column); keys, some 100 bytes each, go to all executors up to `most` rows, else both sides are shuffled."""
     return df.join(F.broadcast(keys) if keys.count() <= most else keys, on, "left_semi")
 
 

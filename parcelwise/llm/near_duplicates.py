@@ -7,18 +7,19 @@ later than all registers hold. Two documents agree in a register with the probab
 similarity. Signatures are cut into bands; documents that share a band are candidates, and their similarity is worked out
 exactly from their texts before they are linked. Classes are the connected components of the links.
 
-Equal texts are one node from the start. In a band's bucket every two nodes meet if there are few; larger buckets are dealt to
-parts of about PART nodes with the same done in each, and all meet the bucket's leader, another one in each band. Those that meet
-are candidates if they agree in AGREE registers. Each node's most alike candidates are verified first, then those that verified
-links don't connect already. What parts and leaders leave is done last: where a large bucket's nodes are still in several classes,
-all outside its largest class meet the whole bucket, in blocks, by longer signatures of one bit a register, and pairs of different
-classes that agree in AGREE_BITS of them are verified too. Links are thus whole but for the chance of bands and registers, and no
-bucket is capped.
+Equal texts are one node from the start. Each bucket's leader is the node whose buckets hold the most nodes, an unedited copy as a
+rule and the same one in most bands; every node of a bucket meets its leader, so pairs are as many as nodes. Where a bucket's nodes
+are then still in several classes, each of its runs is looked for in the other nodes of such buckets: a run that only one node has
+can't be shared, so nodes with too many of those have no partner and go. What is left outside a bucket's largest class meets the
+whole bucket, in blocks of bounded bytes that hold all runs: the weights on shared runs are summed for all pairs at once, and pairs
+that they allow the threshold are verified on the spot, the most alike first and only while their classes differ, so a block gives at
+most a spanning forest of its classes. Links are thus whole but for the chance of bands and registers, and no bucket is capped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +27,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelwise.llm._common import add_columns, col, materialize, mixed, rows_with, slices, text_key, utf8
+from parcelwise.llm._common import add_columns, col, materialize, mixed, rows_with, slices, small_batches, text_key, utf8
 from parcelwise.llm._graph import components
 
 RUN = 5
-REGISTERS, ROWS = 128, 4
-BANDS = REGISTERS // ROWS
-SMALL, PART = 16, 8
-#: Registers in which pairs agree at least to be verified (a similarity of 0.8 falls short with a probability of about 1e-5 in each); nodes of a block and of what it meets at once.
-AGREE, BLOCK, CHUNK = 82, 128, 1024
-BITS, AGREE_BITS = 1024, 878
-#: Texts whose long signatures are made at once, and rows that are held against a list at once.
-TOGETHER, STEP = 256, 16
+REGISTERS = 128
+#: The chance that bands, and then registers, miss a pair just at the threshold.
+MISS, SHORT = 1e-6, 1e-5
+#: Bytes of the nodes of a block, and of what it meets at once; rows of a block that are held against the others at once.
+BLOCK_BYTES, CHUNK_BYTES, STEP = 1 << 20, 4 << 20, 32
+#: Runs of the others that are looked up at once.
+HITS = 100_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -107,14 +107,19 @@ def signatures(texts: pa.Array, m: int = REGISTERS) -> tuple[np.ndarray, np.ndar
     return who.reshape(n, m), np.bincount(doc, minlength=n)
 
 
-def long_signatures(texts: pa.Array) -> list[bytes]:
-    """One bit of the element in each of BITS registers, another bit in each; two texts agree in (1 + similarity) / 2 of them."""
-    found: list[bytes] = []
-    place = np.arange(BITS, dtype=np.uint64) * np.uint64(_BASE)
-    for at in range(0, len(texts), TOGETHER):
-        who, _ = signatures(texts.slice(at, TOGETHER), BITS)
-        found += [x.tobytes() for x in np.packbits((mixed(who + place) & np.uint64(1)).astype(np.uint8), axis=1)]
-    return found
+def band_rows(threshold: float) -> int:
+    """Registers in a band: the most for which a pair at the threshold is missed by all bands with a probability under MISS."""
+    return max((r for r in (1, 2, 4, 8, 16) if (1 - threshold**r) ** (REGISTERS // r) <= MISS), default=1)
+
+
+def least_agreement(threshold: float) -> int:
+    """Registers in which a pair at the threshold agrees at least, but with a probability of SHORT."""
+    total = 0.0
+    for k in range(REGISTERS + 1):
+        total += math.comb(REGISTERS, k) * threshold**k * (1 - threshold) ** (REGISTERS - k)
+        if total > SHORT:
+            return k
+    return REGISTERS
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -137,16 +142,28 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((kn / total).sum())
 
 
-def _bands(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def at_most(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The most that similarity can be if shared runs have the shares p and q of two nodes' weights; just that if no run is repeated.
+
+    Each shared run adds 1 / (1 / its share + the other's rest / its share there), at most what one run with all of p and q would add.
+    """
+    return p * q / np.maximum(p + q - p * q, 1e-9)
+
+
+def _signed(docs: DataFrame, text: str, doc_id: str, threshold: float) -> DataFrame:
+    """(doc_id, key, bands, signature) for each row."""
+    rows = band_rows(threshold)
+    bands = REGISTERS // rows
+
     def make():
         def work(texts: pa.Array) -> list[pa.Array]:
             who, n = signatures(texts)
             keys = [hashlib.md5((t or "").encode(), usedforsecurity=False).digest() for t in texts.to_pylist()]
-            band = np.zeros((len(texts), BANDS), np.uint64)
-            for r in range(ROWS):
-                band = mixed(band * np.uint64(_BASE) + who[:, r * BANDS : (r + 1) * BANDS])
+            band = np.zeros((len(texts), bands), np.uint64)
+            for r in range(rows):
+                band = mixed(band * np.uint64(_BASE) + who[:, r * bands : (r + 1) * bands])
             some = n > 0
-            offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
             signature = [x.tobytes() for x in (who & np.uint64(255)).astype(np.uint8)]
             return [pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[some].ravel().view(np.int64))), pa.array(signature, pa.binary())]
 
@@ -156,116 +173,211 @@ def _bands(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return add_columns(src, "text", [T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())], make, ["doc_id"], 1 << 20)
 
 
-def _members(signed: DataFrame) -> DataFrame:
-    """(bucket, r, least, key) of the buckets with two nodes or more; r orders a bucket's nodes, and its leader has the least."""
-    each = signed.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
-    each = each.withColumn("r", F.xxhash64("bucket", "key"))
-    shared = materialize(each.groupBy("bucket").agg(F.min("r").alias("least"), F.max("r").alias("most")).where("least < most").select("bucket", "least"), "near-buckets")
-    return materialize(each.join(shared, "bucket").groupBy("bucket", "r", "least", "key").agg(F.lit(1)).select("bucket", "r", "least", "key"), "near-members")
+def _members(nodes: DataFrame) -> DataFrame:
+    """(bucket, key, n) of the buckets with n nodes, two or more."""
+    each = nodes.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialize(each.join(materialize(shared, "near-buckets"), "bucket"), "near-members")
 
 
-def _meeting(least: int, bits: bool):
-    """For mapInArrow: pairs (a, b, agree), a < b, of different classes that agree in so many registers, from rows of two lists of key, class and signature in one binary."""
+def _leaders(members: DataFrame) -> DataFrame:
+    """(a, b): each node with the leaders of its buckets, each pair once."""
+    reach = members.groupBy("key").agg(F.sum("n").alias("reach"))
+    lead = members.join(reach, "key").groupBy("bucket").agg(F.max(F.struct("reach", "key")).alias("most")).select("bucket", F.col("most.key").alias("b"))
+    met = members.join(lead, "bucket").where("key != b").select(F.col("key").alias("a"), "b")
+    return materialize(met.distinct(), "near-met")
 
-    def meet(batches):
+
+def _alike(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) that agree in so many registers."""
+    own = nodes.select("key", "signature")
+    sided = pairs.join(own.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a").join(own.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b")
+
+    def run(batches):
         for batch in batches:
-            found = []
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                x, y = (np.frombuffer(b"".join(side.as_py()), np.uint8).reshape(-1, 32 + REGISTERS if not bits else 32 + BITS // 8) for side in (left, right))
-                sign = [np.ascontiguousarray(z[:, 32:]).view(np.uint64 if bits else np.uint8) for z in (x, y)]
-                for at in range(0, len(x), STEP):
-                    one, other = sign[0][at : at + STEP, None], sign[1][None]
-                    agree = BITS - np.bitwise_count(one ^ other).sum(2, dtype=np.int64) if bits else np.count_nonzero(one == other, axis=2)
-                    i, j = np.nonzero(agree >= least)
-                    apart = (x[at + i, 16:32] != y[j, 16:32]).any(1)
-                    i, j = i[apart], j[apart]
-                    for p, q, n in zip(i, j, agree[i, j].tolist(), strict=True):
-                        k, o = x[at + p, :16].tobytes(), y[q, :16].tobytes()
-                        found.append((min(k, o), max(k, o), n))
-            found = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "agree"])
-
-    return meet
-
-
-def _candidates(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b, agree), a < b, of keys to be verified, and the registers in which they agree."""
-    registers = signed.where(F.size("bands") > 0).select("key", "signature").dropDuplicates(["key"])
-    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
-    nodes = materialize(sized.join(registers, "key").select("bucket", "r", "least", "key", "n", F.concat("key", "key", "signature").alias("node")), "near-nodes")
-    part = F.when(F.col("n") > SMALL, F.pmod(F.xxhash64("key", "r"), F.ceil(F.col("n") / PART))).otherwise(F.lit(0).cast("long"))
-    parts = nodes.groupBy("bucket", part.alias("part")).agg(F.collect_list("node").alias("left"))
-    leaders = nodes.where((F.col("r") == F.col("least")) & (F.col("n") > SMALL)).select("bucket", F.array("node").alias("leader"))
-    met = parts.join(leaders, "bucket", "left").select("left", F.when(F.col("leader").isNull(), F.col("left")).otherwise(F.concat("left", "leader")).alias("right"))
-    return materialize(met.where(F.size("right") > 1).mapInArrow(_meeting(AGREE, False), "a binary, b binary, agree int").distinct(), "near-pairs")
-
-
-def _across(members: DataFrame, docs: DataFrame, text: str, root: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, not in known, within buckets over SMALL, of different classes and with long signatures that agree."""
-    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("bucket")
-    mine = members.join(large, "bucket").select("bucket", "key").join(root.select(F.col("u").alias("key"), F.col("v").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "key"))
-    mine = materialize(mine, "near-large")
-    per = mine.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    parted = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most")).where("most.n < n")
-    parted = materialize(parted.select("bucket", "n", (F.col("n") - F.col("most.n")).alias("outside"), F.col("most.class").alias("main")), "near-parted")
-    held = mine.join(parted, "bucket")
-    wanted = materialize(held.select("key").distinct(), "near-parted-keys")
-    texts = rows_with(docs.select(text_key(col(text).cast("string")).alias("key"), col(text).cast("string").alias("text")), wanted, "key").dropDuplicates(["key"])
-    registers = add_columns(texts, "text", [T.StructField("signature", T.BinaryType())], lambda: lambda t: [pa.array(long_signatures(t), pa.binary())], ["key"], 1 << 20)
-    held = materialize(held.join(registers, "key").withColumn("node", F.concat("key", "class", "signature")), "near-parted-nodes")
-    spread = F.xxhash64("key", "bucket")
-    chunks = F.ceil(F.col("n") / CHUNK)
-    whole = held.groupBy("bucket", F.pmod(spread, chunks).alias("chunk")).agg(F.collect_list("node").alias("right"))
-    block = F.pmod(F.xxhash64(F.lit(1), spread), F.ceil(F.col("outside") / BLOCK))
-    blocks = held.where("class != main").groupBy("bucket", "n", block.alias("block")).agg(F.collect_list("node").alias("left"))
-    met = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).join(whole, ["bucket", "chunk"]).select("left", "right")
-    found = met.mapInArrow(_meeting(AGREE_BITS, True), "a binary, b binary, agree int").select("a", "b").distinct()
-    return materialize(found.join(known, ["a", "b"], "left_anti"), "near-across")
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array((x == y).sum(1) >= least)) for c in batch.columns[:2]], names=["a", "b"])
+
+    return materialize(sided.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary"), "near-alike")
+
+
+def _of(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(key, text) of the wanted keys (a written table), each once."""
+    texts = docs.select(text_key(col(text).cast("string")).alias("key"), col(text).cast("string").alias("text"))
+    return rows_with(texts, wanted, "key").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
     """The pairs whose texts are at least so similar, as (u, v)."""
     wanted = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "near-wanted")
-    texts = docs.select(text_key(col(text).cast("string")).alias("key"), col(text).cast("string").alias("text"))
-    texts = materialize(rows_with(texts, wanted, "key").dropDuplicates(["key"]), "near-texts")
+    texts = materialize(_of(wanted, docs, text), "near-texts")
     sided = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 2, 1 << 20):
-                said = pa.concat_arrays([part.column(2), part.column(3)]).dictionary_encode()
-                doc, hashes, times = shingles(said.dictionary)
-                cut = np.searchsorted(doc, np.arange(len(said.dictionary) + 1))
-                of = said.indices.to_numpy()
-                own = [(hashes[cut[i] : cut[i + 1]], times[cut[i] : cut[i + 1]]) for i in range(len(said.dictionary))]
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([similarity(own[of[i]], own[of[n + i]]) for i in range(n)], pa.float64())], names=["u", "v", "similarity"])
+            for half in slices(batch, 2, 1 << 20):
+                for part in slices(half, 3, 1 << 20):
+                    said = pa.concat_arrays([part.column(2), part.column(3)]).dictionary_encode()
+                    doc, hashes, times = shingles(said.dictionary)
+                    cut = np.searchsorted(doc, np.arange(len(said.dictionary) + 1))
+                    of = said.indices.to_numpy()
+                    own = [(hashes[cut[i] : cut[i + 1]], times[cut[i] : cut[i + 1]]) for i in range(len(said.dictionary))]
+                    n = part.num_rows
+                    on = pa.array([similarity(own[of[i]], own[of[n + i]]) >= threshold for i in range(n)], pa.bool_())
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(on), part.column(1).filter(on)], names=["u", "v"])
+
+    small_batches(docs.sparkSession)
+    return materialize(sided.select("a", "b", "ta", "tb").mapInArrow(run, "u binary, v binary"), "near-links")
+
+
+def _parted(members: DataFrame, root: DataFrame) -> DataFrame:
+    """(bucket, key, class, main) of the buckets of three nodes or more in several classes, main being the largest; of buckets with the same nodes only one."""
+    mine = members.where("n > 2").join(root.select(F.col("u").alias("key"), F.col("v").alias("class")), "key", "left").select("bucket", "key", F.coalesce("class", "key").alias("class"))
+    mine = materialize(mine, "near-classed")
+    per = mine.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"same{i}") for i in (0, 1)])
+    parted = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"), *[F.bit_xor(f"same{i}").alias(f"same{i}") for i in (0, 1)]).where("most.n < n")
+    parted = parted.groupBy("n", "same0", "same1").agg(F.min(F.struct("bucket", F.col("most.class").alias("main"))).alias("one")).select("one.*")
+    return materialize(mine.join(materialize(parted, "near-parted"), "bucket"), "near-open")
+
+
+def _runs(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(key, w, runs): the weight of each text's runs, and the different runs with their times as bytes."""
+
+    def make():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            doc, run, times = shingles(texts)
+            cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+            total = np.concatenate([[0.0], np.cumsum(weight(times))])
+            packed = [run[a:b].tobytes() + times[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            return [pa.array(total[cut[1:]] - total[cut[:-1]], pa.float64()), pa.array(packed, pa.binary())]
+
+        return work
+
+    fields = [T.StructField("w", T.DoubleType()), T.StructField("runs", T.BinaryType())]
+    return materialize(add_columns(_of(wanted, docs, text), "text", fields, make, ["key"], 1 << 20), "near-runs")
+
+
+def _unpacked(runs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(runs) // 12
+    return np.frombuffer(runs, np.uint64, n), np.frombuffer(runs, np.uint32, n, 8 * n).astype(int)
+
+
+def _lone(runs: DataFrame) -> DataFrame:
+    """(key, lone): the weight of a node's runs that no other node has."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 20):
+                own = [_unpacked(x) for x in part.column(1).to_pylist()]
+                if not own:
+                    continue
+                of = np.repeat(np.arange(len(own)), [len(h) for h, _ in own])
+                hashes, times = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+                # of what several nodes here have, two rows tell as much as all
+                order = np.argsort(hashes, kind="stable")
+                hashes, of, times = hashes[order], of[order], times[order]
+                third = np.concatenate([[False, False], hashes[2:] == hashes[:-2]])[: len(hashes)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[~third])), pa.array(hashes[~third].view(np.int64)), pa.array(weight(times[~third]), pa.float64())], names=["key", "run", "w"])
+
+    each = runs.select("key", "runs").mapInArrow(run, "key binary, run long, w double")
+    lone = each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("w").alias("w")).where("n = 1")
+    return lone.groupBy("key").agg(F.sum("w").alias("lone"))
+
+
+class _Side:
+    """The nodes of one list: keys, classes, runs, times, weights."""
+
+    def __init__(self, nodes: pa.Array):
+        self.keys, self.classes = nodes.field("key").to_pylist(), nodes.field("class").to_pylist()
+        self.total = nodes.field("w").to_numpy(zero_copy_only=False)
+        self.own = [_unpacked(x) for x in nodes.field("runs").to_pylist()]
+        self.cut = np.cumsum([0, *[len(h) for h, _ in self.own]])
+        self.runs, times = (np.concatenate([x[i] for x in self.own]) for i in (0, 1))
+        self.of, self.weights, self.plain = np.repeat(np.arange(len(self.own)), np.diff(self.cut)), weight(times).astype(np.float32), bool((times == 1).all())
+
+
+def _shared(x: _Side, rows: range, y: _Side) -> tuple[np.ndarray, np.ndarray]:
+    """For each node of y and each of those rows of x: the shares of both weights that lie on runs of the other."""
+    part = slice(x.cut[rows.start], x.cut[rows.stop])
+    known, at = np.unique(x.runs[part], return_inverse=True)
+    heavy = np.zeros((len(known), len(rows)), np.float32)
+    heavy[at, x.of[part] - rows.start] = x.weights[part]
+    place = np.minimum(np.searchsorted(known, y.runs), len(known) - 1)
+    hit = np.flatnonzero(known[place] == y.runs)
+    mine, theirs = np.zeros((len(y.keys), len(rows)), np.float32), np.zeros((len(y.keys), len(rows)), np.float32)
+    for k in range(0, len(hit), HITS):
+        some = hit[k : k + HITS]
+        of, found = y.of[some], heavy[place[some]]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        mine[of[first]] += np.add.reduceat(found, first, axis=0)
+        if not (x.plain and y.plain):
+            theirs[of[first]] += np.add.reduceat((found > 0) * y.weights[some, None], first, axis=0)
+    return mine / x.total[rows.start : rows.stop], (mine if x.plain and y.plain else theirs) / y.total[:, None]
+
+
+def _linked(x: _Side, y: _Side, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Verified links between the nodes of two lists, of different classes: a spanning forest of what they connect."""
+    names = {c: i for i, c in enumerate(dict.fromkeys([*x.classes, *y.classes]))}
+    parent = list(range(len(names)))
+    cx, cy = (np.array([names[c] for c in side.classes]) for side in (x, y))
+    found = []
+    for at in range(0, len(x.keys), STEP):
+        rows = range(at, min(at + STEP, len(x.keys)))
+        most = at_most(*_shared(x, rows, y))
+        j, i = np.nonzero((most >= threshold - 1e-4) & (cy[:, None] != cx[rows.start : rows.stop]))
+        found.append(np.stack([most[j, i], at + i, j], 1))
+    found = np.concatenate(found)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    links = []
+    for _, i, j in found[np.argsort(-found[:, 0], kind="stable")].astype(int).tolist():
+        a, b = root(cx[i]), root(cy[j])
+        if a != b and similarity(x.own[i], y.own[j]) >= threshold:
+            parent[a] = b
+            links.append((x.keys[i], y.keys[j]))
+    return links
+
+
+def _across(parted: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
+    """Links (u, v) between the classes of parted buckets."""
+    runs = _runs(materialize(parted.select("key").distinct(), "near-parted-keys"), docs, text)
+    alone = materialize(_lone(runs), "near-lone")
+    able = materialize(runs.join(alone, "key", "left").where(F.col("w") - F.coalesce("lone", F.lit(0.0)) >= F.col("w") * (threshold - 1e-9)).drop("lone"), "near-able")
+    held = materialize(parted.join(able.select("key", F.octet_length("runs").alias("size")), "key"), "near-held")
+    per = held.groupBy("bucket").agg(F.sum(F.col("size") + 256).alias("all"), F.sum(F.when(F.col("class") != F.col("main"), F.col("size") + 256)).alias("outside"), F.min("class").alias("low"), F.max("class").alias("high"))
+    per = materialize(per.where("low != high and outside is not null").select("bucket", F.ceil(F.col("all") / CHUNK_BYTES).alias("chunks"), F.ceil(F.col("outside") / BLOCK_BYTES).alias("blocks")), "near-still")
+    node = F.struct("key", "class", "w", "runs").alias("node")
+    full = materialize(held.join(per, "bucket").join(able, "key").select("bucket", "key", "chunks", "blocks", (F.col("class") != F.col("main")).alias("out"), node), "near-full")
+    spread = F.xxhash64("key", "bucket")
+    whole = full.groupBy("bucket", F.pmod(spread, "chunks").alias("chunk")).agg(F.collect_list("node").alias("right"))
+    blocks = full.where("out").groupBy("bucket", "chunks", F.pmod(F.xxhash64(F.lit(1), spread), "blocks").alias("block")).agg(F.collect_list("node").alias("left"))
+    met = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).join(whole, ["bucket", "chunk"]).select("left", "right")
+
+    def meet(batches):
+        for batch in batches:
+            links = [p for left, right in zip(batch.column(0), batch.column(1), strict=True) for p in _linked(_Side(left.values), _Side(right.values), threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.binary()) for i in (0, 1)], names=["u", "v"])
 
-    return sided.select("a", "b", "ta", "tb").mapInArrow(run, "u binary, v binary, similarity double").where(F.col("similarity") >= threshold).select("u", "v")
+    return materialize(met.mapInArrow(meet, "u binary, v binary"), "near-across")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """(doc_id, key, class): for each row the hash of its text and the key that stands for its class.
 
-    Null and empty texts, and texts without words, are equal only to those of the same bytes (null counts as empty).
+    Null and empty texts, and texts without words, are equal only to those of the same bytes (null counts as empty). Very long
+    texts are taken whole.
     """
-    signed = materialize(_bands(docs, text, doc_id), "near-bands")
-    members = _members(signed)
-    pairs = _candidates(members, signed)
-    # each node's most alike partners come first: most links of a class are then never needed
-    best = [pairs.groupBy(one).agg(F.max(F.struct("agree", other)).alias("best")).select(one, f"best.{other}").select("a", "b") for one, other in ("ab", "ba")]
-    first = materialize(best[0].unionByName(best[1]).distinct(), "near-first")
-    links = materialize(_verified(first, docs, text, threshold), "near-links")
-    root = components(links)
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    for side in "ab":
-        rest = rest.join(root.select(F.col("u").alias(side), F.col("v").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    rest = materialize(rest.where("ca != cb").select("a", "b"), "near-rest")
-    more = materialize(_verified(rest, docs, text, threshold), "near-more")
-    root = components(root.unionByName(more))
-    across = _across(members, docs, text, root, pairs)
-    if not across.isEmpty():
-        root = components(root.unionByName(materialize(_verified(across, docs, text, threshold), "near-last")))
+    signed = materialize(_signed(docs, text, doc_id, threshold), "near-signed")
+    nodes = materialize(signed.where(F.size("bands") > 0).select("key", "bands", "signature").dropDuplicates(["key"]), "near-nodes")
+    members = _members(nodes)
+    root = components(_verified(_alike(_leaders(members), nodes, least_agreement(threshold)), docs, text, threshold))
+    parted = _parted(members, root)
+    if not parted.isEmpty():
+        root = components(root.unionByName(_across(parted, docs, text, threshold)))
     return signed.select("doc_id", "key").join(root.select(F.col("u").alias("key"), F.col("v").alias("__root")), "key", "left").select("doc_id", "key", F.coalesce("__root", "key").alias("class"))
 
 

@@ -196,7 +196,7 @@ def test_passages(spark):
     assert plain[100] is None and plain[101] == "" and plain[106] == "" and plain[102] == "a" * 199
 
 
-def _classes(texts):
+def _classes(texts, threshold=0.8):
     runs = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").split()) else {} for t in texts]
     own = [{k: 1 + math.log(v) for k, v in r.items()} for r in runs]
     parent = list(range(len(texts)))
@@ -213,28 +213,31 @@ def _classes(texts):
             elif own[i].keys() & own[j].keys():
                 every = own[i].keys() | own[j].keys()
                 s = sum(1 / sum(max(own[i].get(y, 0) / own[i][x], own[j].get(y, 0) / own[j][x]) for y in every) for x in own[i].keys() & own[j].keys())
-                if s >= 0.8:
+                if s >= threshold:
                     parent[root(i)] = root(j)
     return [root(i) for i in range(len(texts))]
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9])
+def test_near_duplicates(spark, threshold):
     rows = []
     for k in range(12):
-        words = prose(RNG.randint(60, 150)).split()
+        words = prose(RNG.randint(60, 150)).split() * RNG.choice([1, 1, 1, 2])
         for c in range(RNG.randint(1, 6)):
             edited = list(words)
-            for _ in range(RNG.randint(0, 5)):
+            for _ in range(RNG.randint(0, 5 if threshold > 0.5 else 14)):
                 edited[RNG.randrange(len(edited))] = RNG.choice(VOCABULARY)
             rows.append((100 * k + c, " ".join(edited)))
     rows += [(2000, prose(3)), (2001, None), (2002, ""), (2003, " "), (2004, rows[0][1]), (2004, rows[0][1]), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = near_duplicates.near_duplicates(df).collect()
-    root = _classes([t for _, t in rows])
+    got = near_duplicates.near_duplicates(df, threshold=threshold).collect()
+    root = _classes([t for _, t in rows], threshold)
     least = {r: min((i for (i, _), q in zip(rows, root) if q == r and i is not None), default=None) for r in root}
     assert bag((r.doc_id, r.class_id) for r in got) == bag((i, least[q]) for (i, _), q in zip(rows, root))
     kept = collections.Counter(r.class_id for r in got if r.kept)
     assert set(kept) == {r.class_id for r in got} and max(kept.values()) == 1
+    if threshold != 0.8:
+        return
     one = near_duplicates.keep_one(df).collect()
     assert len(one) == len(kept) and bag((r.doc_id,) for r in one) == bag((r.doc_id,) for r in got if r.kept)
 
@@ -259,6 +262,33 @@ def test_near_duplicates_of_one_template(spark):
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
 
 
+def test_blocks_link_as_all_pairs_do():
+    rng = random.Random(11)
+    base = [prose(40, rng).split() for _ in range(3)]
+    texts = []
+    for k in range(90):
+        words = list(base[k % 3]) * rng.choice([1, 1, 2])
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+        texts.append(" ".join(words))
+    doc, runs, times = near_duplicates.shingles(pa.array(texts))
+    own = [(runs[doc == i], times[doc == i]) for i in range(len(texts))]
+    nodes = pa.array([{"key": b"%d" % i, "class": b"%d" % i, "w": float(near_duplicates.weight(t).sum()), "runs": h.tobytes() + t.astype("uint32").tobytes()} for i, (h, t) in enumerate(own)], pa.struct([("key", pa.binary()), ("class", pa.binary()), ("w", pa.float64()), ("runs", pa.binary())]))
+    side = near_duplicates._Side(nodes)
+    p, q = near_duplicates._shared(side, range(10, 20), side)
+    most = near_duplicates.at_most(p, q)
+    exact = [[near_duplicates.similarity(own[i], own[j]) for i in range(10, 20)] for j in range(len(own))]
+    assert all(m >= e - 1e-4 and (m == pytest.approx(e, abs=1e-4) or (own[j][1] > 1).any() or (own[10 + i][1] > 1).any()) for j in range(len(own)) for i, (m, e) in enumerate(zip(most[j], exact[j])))
+    links = near_duplicates._linked(side, side, 0.8)
+    want, got = list(range(len(texts))), list(range(len(texts)))
+    for i, j in [(i, j) for i in range(len(own)) for j in range(i) if near_duplicates.similarity(own[i], own[j]) >= 0.8]:
+        want = [want[j] if c == want[i] else c for c in want]
+    for i, j in [(int(a), int(b)) for a, b in links]:
+        got = [got[j] if c == got[i] else c for c in got]
+    same = lambda x: [x.index(c) for c in x]
+    assert same(got) == same(want) and len(links) == len(texts) - len(set(want))
+
+
 def test_signatures_estimate_similarity():
     words = prose(300).split()
     texts = [" ".join(words), " ".join(words[:40] + ["x"] + words[41:]), " ".join(words[:150]) + " " + prose(150)]
