@@ -10,8 +10,11 @@ sketched again, by other hashes and, as long as it takes, with twice as many sub
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelwise.llm._common import col, let, materialize, others
 
@@ -23,8 +26,10 @@ LOAD = 4
 ATTEMPTS = 14
 #: Chooses the cells of returned sketches, and of those built again (and from there on for each attempt).
 SEED, AGAIN = 0, 100
-#: Rows to a run of neighbours in ascending doc_id.
-RUN = 2000
+#: Rows to a run of neighbours in ascending doc_id; quantiles of doc_id at most, between which runs are of equal width; runs ordered at once.
+RUN, CELLS_AT_MOST, STRETCH = 2000, 4096, 1024
+#: First ids of runs (some 100 bytes each) that go to all executors; more are joined by a shuffle.
+GUESTS_AT_MOST = 250_000
 
 
 def digests(text: Column) -> Column:
@@ -182,24 +187,58 @@ def fingerprint(subtables: Column) -> Column:
     return F.array_join(F.transform(subtables, lambda cells: F.array_join(F.transform(cells, cell), "-")), "/")
 
 
+def _position(value: Column, kind: T.DataType) -> Column:
+    """A number that never falls as value rises, null for null: numbers and times by themselves, all else by its first six bytes as text."""
+    if isinstance(kind, T.NumericType):
+        return value.cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return value.cast("timestamp").cast("double")
+    head = F.rpad(F.hex(F.substring(value.cast("string").cast("binary"), 1, 6)), 12, "0")
+    return F.when(value.isNotNull(), F.conv(head, 16, 10).cast("double"))
+
+
+def _numbers(values: list[float]) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _run(p: Column, cuts: list[float], parts: int) -> Column:
+    """How many cuts p reaches, found among about the root of their number and then in one stretch; times parts, plus p's place between its two cuts in so many parts; -1 for null."""
+    step = math.isqrt(len(cuts)) + 1
+    chunks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    heads, stretches = _numbers([c[0] for c in chunks]), F.array(*[_numbers(c) for c in chunks])
+    reached = lambda x: F.size(F.filter(x, lambda c: c <= p))
+    cell = let(reached(heads), lambda k: F.when(k == 0, F.lit(0)).otherwise((k - 1) * step + reached(F.get(stretches, k - 1))))
+    if parts > 1:
+        low, high = F.get(_numbers(cuts), cell - 1), F.get(_numbers(cuts), cell)
+        inside = F.floor((p - low) / (high - low) * parts)
+        cell = cell * parts + F.coalesce(F.least(F.greatest(inside, F.lit(0)), F.lit(parts - 1)), F.lit(0))
+    return F.when(p.isNull(), F.lit(-1)).otherwise(cell).cast("long")
+
+
+def _before(runs: DataFrame) -> DataFrame:
+    """(first, __to): each run's first id, and the run before it (before the first, the last): in order within stretches of runs, and of the stretches."""
+    stretch = runs.withColumn("part", F.floor(F.col("run") / STRETCH))
+    ends = stretch.groupBy("part").agg(F.max("run").alias("end"))
+    ends = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("ended"), F.max("end").over(Window.partitionBy()).alias("last"))
+    own = F.lag("run").over(Window.partitionBy("part").orderBy("run"))
+    return stretch.withColumn("own", own).join(ends, "part").select("first", F.coalesce("own", "ended", "last").alias("__to"))
+
+
 def next_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, text, next_text) for every row: the text of the next row by doc_id (null first, then equal ids by text), after the last the first.
 
-    Rows are dealt by ranges of doc_id to runs of about RUN; each run also gets the first row of the next, so no ordering
-    of all rows is needed, and each text is shuffled once.
+    Rows are dealt by quantiles of doc_id, of any type that has an order, to runs of about RUN (rows of one id, or of ids with the same six first bytes, to
+    the same run); each run also gets the first row of the next, so no ordering of all rows is needed, and each text is shuffled once.
     """
     d = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min(col(doc_id)), F.max(col(doc_id))).first()
-    if not n or low is None:
-        width = 1
-    else:
-        width = max(1, (high - low + 1) * RUN // n)
-    run = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    firsts = d.groupBy(run.alias("run")).agg(F.min("doc_id").alias("first"))
-    runs = materialize(firsts, "neighbour-runs")
-    before = F.lag("run").over(Window.orderBy("run"))
-    last = F.max("run").over(Window.partitionBy())
-    guests = runs.select("first", F.coalesce(before, last).alias("__to"))
+    p = _position(F.col("doc_id"), d.schema["doc_id"].dataType)
+    runs = max(1, -(-docs.count() // RUN))
+    cells = min(runs, CELLS_AT_MOST)
+    found = d.agg(F.percentile_approx(p, [k / cells for k in range(cells + 1)], 10 * cells)).first()[0]
+    run = _run(p, sorted(set(found or [0.0])), -(-runs // cells))
+    firsts = materialize(d.groupBy(run.alias("run")).agg(F.min("doc_id").alias("first")), "neighbour-runs")
+    guests = materialize(_before(firsts), "neighbour-guests")
+    guests = F.broadcast(guests) if runs <= GUESTS_AT_MOST else guests
     rows = d.withColumns({"run": run, "guest": F.lit(0)})
     # the first run's head also follows the last run's end
     extra = d.join(guests, F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", F.col("__to").alias("run"), F.lit(1).alias("guest"))
