@@ -42,10 +42,15 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """Each block's path tokens, text with white space as one space, and the number of its characters within links."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def blocks(page: str | None) -> list[tuple[int, str, int]]:
+    """Each block's path, text with white space as one space, and the number of its characters within links.
+
+    The path is the set of the buckets of its tags' and names' tokens, as bits: each open element adds its own to those of the one
+    around it, so time and memory are linear in the page, however deep it nests.
+    """
+    out: list[tuple[int, str, int]] = []
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
     said: list[str] = []
     linked = 0
 
@@ -53,10 +58,15 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal linked
         text = " ".join("".join(said).split())
         if text:
-            out.append((tuple(t for _, tokens in stack for t in tokens), text, min(linked, len(text))))
+            out.append((stack[-1][1] if stack else 0, text, min(linked, len(text))))
         said.clear()
         linked = 0
 
+    def leave(i: int) -> None:
+        for t, _ in stack[i:]:
+            opened[t] -= 1
+        del stack[i:]
+
     page = page or ""
     unclosed: set[str] = set()
     at = 0
@@ -67,7 +77,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if text:
             text = html.unescape(text) if m["text"] else text
             said.append(text)
-            if any(t == "a" for t, _ in stack):
+            if opened.get("a"):
                 linked += len(text)
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
@@ -85,12 +95,13 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if tag not in _INLINE:
             close()
         if m["end"] or m["end2"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if any(t not in _INLINE for t, _ in stack[i:]):
-                        close()
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                if any(t not in _INLINE for t, _ in stack[i:]):
+                    close()
+                leave(i)
             continue
         if tag in _VOID:
             continue
@@ -98,13 +109,17 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
                 ends = _ENDS.get(stack[i][0], ())
                 if ends is None or tag in ends:
-                    del stack[i:]
+                    leave(i)
                     break
                 if stack[i][0] not in _INLINE:
                     break
         attr = m["attr"] or m["attr2"] or ""
         names = {p for v in _NAMES.findall(attr) for p in _PART.findall(v.lower())} if "=" in attr else ()
-        stack.append((tag, (tag, *(f".{p}" for p in sorted(names)))))
+        path = stack[-1][1] if stack else 0
+        for token in (tag, *(f".{p}" for p in names)):
+            path |= 1 << _bucket(token, PATH)
+        stack.append((tag, path))
+        opened[tag] = opened.get(tag, 0) + 1
     close()
     return out
 
@@ -121,11 +136,11 @@ def _bucket(token: str, of: int) -> int:
     return got % of
 
 
-def vectors(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(found: list[tuple[int, str, int]]) -> np.ndarray:
     x = np.zeros((len(found), WIDTH), np.float32)
-    for i, (path, text, linked) in enumerate(found):
-        for t in path:
-            x[i, _bucket(t, PATH)] = 1
+    paths = np.frombuffer(b"".join(path.to_bytes(PATH // 8, "little") for path, _, _ in found), np.uint8).reshape(len(found), -1)
+    x[:, :PATH] = np.unpackbits(paths, axis=1, bitorder="little")
+    for i, (_, text, linked) in enumerate(found):
         words = text.lower().split()
         n = np.bincount([PATH + _bucket(w, WORDS) for w in words], minlength=PATH + WORDS)[PATH:]
         x[i, PATH : PATH + WORDS] = n / max(len(words), 1)
@@ -148,8 +163,8 @@ class Labeller:
         self.w |= {"o": r.normal(0, 0.2, (2 * HIDDEN, 1)), "z": np.zeros(1)}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x: pages x blocks x WIDTH; mask: 1 where there is a block."""
+    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, learn: bool) -> tuple[np.ndarray, list]:
+        """x: pages x blocks x WIDTH; mask: 1 where there is a block. To learn, each step's state is kept."""
         n, steps, _ = x.shape
         a = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
@@ -160,18 +175,19 @@ class Labeller:
             g, m = np.tanh(z[:, 3 * HIDDEN :]), mask[:, t, None]
             c2 = f * c + i * g
             u = np.tanh(c2)
-            kept.append((t, h, c, i, f, o, g, u, m))
+            if learn:
+                kept.append((t, h, c, i, f, o, g, u, m))
             h, c = m * (o * u) + (1 - m) * h, m * c2 + (1 - m) * c
             hs[:, t] = h
         return hs, kept
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        (hf, kf), (hb, kb) = self._pass(x, mask, "f"), self._pass(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, learn: bool = False) -> tuple[np.ndarray, tuple]:
+        (hf, kf), (hb, kb) = self._pass(x, mask, "f", learn), self._pass(x, mask, "b", learn)
         both = np.concatenate([hf, hb], 2)
         return _sigmoid((both @ self.w["o"])[:, :, 0] + self.w["z"]), (both, kf, kb)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, (both, kf, kb) = self.forward(x, mask)
+        p, (both, kf, kb) = self.forward(x, mask, learn=True)
         dz = ((p - y) * mask / mask.sum())[:, :, None].astype(np.float32)
         g = {"o": np.einsum("nth,nto->ho", both, dz), "z": dz.sum((0, 1))}
         dboth = dz @ self.w["o"].T
@@ -213,7 +229,7 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def example(rng: random.Random) -> list[tuple[tuple[str, ...], str, int, bool]]:
+def example(rng: random.Random) -> list[tuple[int, str, int, bool]]:
     """The blocks of a made-up page, each with whether it is main text."""
     syllables = [a + b for a in "b c d f g l m n p r s t th st v w sch qu é ñ ü".split() for b in "a e i o u en er on ing es é ä".split()]
     mark = "\x00"
