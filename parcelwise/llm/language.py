@@ -13,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelwise.llm._common import add_columns, col, mixed, utf8
 
 BUCKETS = 1 << 14
+#: Subwords are known by so many finer buckets, that few unknown ones pass as known.
+SEEN = 1 << 20
 DIM = 16
 RUNS = (2, 3, 4)
 UNKNOWN = "und"
@@ -30,7 +32,7 @@ _BYTE = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)],
 
 
 def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bool]]:
-    """For texts: the bucket of each subword, the number of its text, and whether each text has a letter."""
+    """For texts: the fine bucket of each subword (its bucket is what is left of it modulo BUCKETS), the number of its text, and whether each text has a letter."""
     said = [t or "" for t in texts.to_pylist()]
     has = [any(map(str.isalpha, t)) for t in said]
     data, bounds = utf8(pa.array([f" {t.lower()} " for t in said], pa.large_string()))
@@ -48,7 +50,7 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bool]]:
             if 0 < k < n - 1:
                 good &= b[k : m + k] != 32
         good &= (b[:m] != 32) | (b[n - 1 :] != 32)
-        ids.append((mixed(key[good] + (np.uint64(n) << np.uint64(40))) % np.uint64(BUCKETS)).astype(np.int32))
+        ids.append((mixed(key[good] + (np.uint64(n) << np.uint64(40))) % np.uint64(SEEN)).astype(np.int32))
         of.append(word[:m][good])
     return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(of) if of else np.zeros(0, np.int32), has
 
@@ -58,7 +60,7 @@ class Model:
     langs: list[str]
     table: np.ndarray  # BUCKETS x languages: logits of each subword
     bias: np.ndarray
-    seen: np.ndarray
+    seen: np.ndarray  # SEEN: whether training had the subword
     temperature: float = 1.0
     least_score: float = 0.0
     least_seen: float = 0.0
@@ -67,8 +69,9 @@ class Model:
         """Logits, share of subwords that training saw, and whether there is a letter."""
         ids, of, has = subwords(texts)
         n = np.bincount(of, minlength=len(texts)).astype(float)
-        total = np.stack([np.bincount(of, self.table[ids, k], len(texts)) for k in range(len(self.langs))], 1) if self.langs else np.zeros((len(texts), 0))
         known = np.bincount(of, self.seen[ids], len(texts))
+        ids %= BUCKETS
+        total = np.stack([np.bincount(of, self.table[ids, k], len(texts)) for k in range(len(self.langs))], 1) if self.langs else np.zeros((len(texts), 0))
         return total / np.maximum(n, 1)[:, None] + self.bias, known / np.maximum(n, 1), np.array(has, bool)
 
     def scores(self, logits: np.ndarray) -> np.ndarray:
@@ -93,16 +96,20 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's different buckets and their shares."""
     out = []
     for t in texts:
-        ids, n = np.unique(subwords(pa.array([t], pa.string()))[0], return_counts=True)
+        ids, n = np.unique(subwords(pa.array([t], pa.string()))[0] % BUCKETS, return_counts=True)
         out.append((ids, n / max(n.sum(), 1)))
     return out
 
 
 def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, rate: float = 4.0, batch: int = 16, lose: float = 0.001) -> Model:
-    """Learns from labelled texts; a fifth of them calibrates. lose: the share of right predictions that the bounds may reject."""
+    """Learns from labelled texts; a fifth of them calibrates. lose: the share of right predictions that the bounds may reject.
+
+    What an unlearned language looks like is told by the learned ones, each held against the subwords of all others: the bound on
+    known subwords lies between their share there and the share of texts in learned languages, and never rejects more than `lose`.
+    """
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(BUCKETS))
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(SEEN, bool))
     rng = np.random.default_rng(seed)
     bags, y = _bags(texts), np.array([names.index(x) for x in langs])
     order = rng.permutation(len(bags))
@@ -128,9 +135,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ra
             out -= step * 0.2 * mean.T @ p
             bias -= step * 0.02 * p.sum(0)
             np.add.at(emb, ids, -step * 20 * share[:, None] * back[of])
-    seen = np.zeros(BUCKETS)
-    seen[np.unique(np.concatenate([bags[i][0] for i in learn] or [np.zeros(0, int)])).astype(int)] = 1
-    model = Model(names, emb @ out, bias, seen)
+    of_lang = [np.unique(subwords(pa.array([texts[i] for i in learn if y[i] == k], pa.large_string()))[0]) for k in range(len(names))]
+    langs_with = np.zeros(SEEN, np.int32)
+    for ids in of_lang:
+        langs_with[ids] += 1
+    model = Model(names, emb @ out, bias, langs_with > 0)
     if len(held):
         logits, known, has = model.logits(pa.array([texts[i] for i in held], pa.string()))
         logits, known, right = logits[has], known[has], y[held][has]
@@ -145,28 +154,43 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ra
             hit = p.argmax(1) == right
             if hit.any():
                 model.least_score = min(float(np.quantile(p.max(1)[hit], lose)) * 0.7, 0.5)
-                model.least_seen = float(np.quantile(known[hit], lose)) * 0.6
+                model.least_seen = float(np.quantile(known[hit], lose)) * 0.95
+                strange = []
+                for k, ids in enumerate(of_lang if len(names) > 1 else []):
+                    others = langs_with > 0
+                    others[ids[langs_with[ids] == 1]] = False
+                    some = [texts[i] for i in held if y[i] == k]
+                    if some:
+                        at, of, has = subwords(pa.array(some, pa.large_string()))
+                        strange.append((np.bincount(of, others[at], len(some)) / np.maximum(np.bincount(of, minlength=len(some)), 1))[has])
+                if strange and (top := float(np.quantile(np.concatenate(strange), 0.95))) < model.least_seen:
+                    model.least_seen = (top + model.least_seen) / 2
     return model
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 2000, longest: int = 65_536) -> Model:
-    """Trains on about sample_docs labelled rows, as many of each language as there are, none over longest bytes: what the driver holds."""
-    rows = docs.select(col(text).cast("string").alias("t"), col(lang).cast("string").alias("l")).where("t is not null and l is not null").where(F.octet_length("t") <= longest)
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(200).collect()}
+    """Trains on sample_docs different labelled texts at most, as many of each language, or on 20 of each if languages are many.
+
+    Of a longer text, training takes the first `longest` characters. Texts are chosen by their hashes, so reruns agree, and repeated rows
+    count once. The driver holds the sample and a number for each language.
+    """
+    rows = docs.select(F.substring(col(text).cast("string"), 1, longest).alias("t"), col(lang).cast("string").alias("l")).where("t is not null and l is not null")
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n")).collect()}
     if not counts:
         return train([], [])
     each = max(20, sample_docs // len(counts))
-    take = F.lit(False)
-    for name, n in counts.items():
-        take = F.when(F.col("l") == name, F.pmod(F.xxhash64("t", F.lit("train")), F.lit(max(1, n // each))) == 0).otherwise(take)
-    some = sorted((r["t"], r["l"]) for r in rows.where(take).collect())
-    return train([t for t, _ in some], [x for _, x in some])
+    chance = F.xxhash64("t", F.lit("train"))
+    step = F.element_at(F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, max(1, int(n / each / 1.5)))]), F.col("l"))
+    some = rows.where(F.pmod(chance, step) == 0).dropDuplicates(["l", "t"])
+    some = some.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy(chance, "t"))).where(F.col("i") <= each)
+    found = sorted((r["t"], r["l"]) for r in some.collect())
+    return train([t for t, _ in found], [x for _, x in found])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred, score (0 to 1) and rejected to docs' columns (or to those of keep).
 
-    Null texts and those without a letter are `und` with score 0, and rejected; so is everything if no language was learned.
+    Whole texts count, very long ones too. Null texts and those without a letter are `und` with score 0, and rejected; so is everything if no language was learned.
     Repeated rows stay and get the same; columns with clashing names are replaced; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
