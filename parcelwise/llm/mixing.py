@@ -74,17 +74,19 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """One row for each of docs: doc_id, source, text_hash, size (words), source_size, target, copies (0, 1, 2 ...) and taken = copies * size.
 
     Reruns agree: all chance comes from hashes of the seed and the row. A null source is a source; a null text has size 0 and
-    isn't taken. Rows with the same doc_id, source and text are told apart only by their number, and rounded one by one. Other
+    isn't taken. Rows with the same doc_id, source and text are numbered and rounded one by one. Very long texts are counted whole. Other
     columns of docs, whatever their names, aren't looked at. An empty table, or one without words, takes nothing.
     """
     rows = docs.select(col(doc_id).alias("doc_id"), col(source).cast("string").alias("source"), F.xxhash64(col(text)).alias("text_hash"), F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    # equal rows are counted and numbered, so that each has chances of its own
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")).select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("again"))
     rows = materialize(rows, "mix-rows")  # the only step that reads texts
     per_source = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     per = per_source.select(F.col("source").alias("__s"), "source_size", "target")
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("base", F.floor(f)).withColumn("m", F.when(F.col("size") > 0, (f - F.floor(f)) * F.col("size")).otherwise(F.lit(0.0)))
-    row = ["doc_id", "source", "text_hash", "size", "source_size", "target", "base"]
+    row = ["doc_id", "source", "text_hash", "again", "size", "source_size", "target", "base"]
     done = [rows.where("m <= 0").select(*row, F.lit(0).alias("more"))]
     open_rows, level = rows.where("m > 0").select(*row, "m"), 0
     while True:
@@ -92,9 +94,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         n = materialize(n, "mix-counts")
         if (n.agg(F.max("__n")).first()[0] or 0) <= 1:
             break
-        salt = F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "text_hash")
+        salt = F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "text_hash", "again")
         group = F.pmod(salt, F.ceil(F.col("__n") / GROUP))
-        item = F.struct(_uniform(F.lit(seed), F.lit(-1 - level), "doc_id", "text_hash").alias("r"), F.col("size").cast("double").alias("s"), "m", *[c for c in row if c != "source"])
+        item = F.struct(_uniform(F.lit(seed), F.lit(-1 - level), "doc_id", "text_hash", "again").alias("r"), F.col("size").cast("double").alias("s"), "m", *[c for c in row if c != "source"])
         grouped = open_rows.join(n, F.col("source").eqNullSafe(F.col("__s"))).groupBy("source", group.alias("__g")).agg(F.sort_array(F.collect_list(item)).alias("items"))
         folded = grouped.select("source", "items", _fold(F.col("items")).alias("f"))
         each = folded.select("source", "f", F.posexplode("items").alias("i", "x"))
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         out = materialize(out, f"mix-{level}")
         done.append(out.where("more is not null").select(*row, "more"))
         open_rows, level = out.where("more is null").select(*row, "m"), level + 1
-    last = _uniform(F.lit(seed), F.lit("last"), "doc_id", "text_hash") * F.col("size") < F.col("m")
+    last = _uniform(F.lit(seed), F.lit("last"), "doc_id", "text_hash", "again") * F.col("size") < F.col("m")
     done.append(open_rows.select(*row, last.cast("int").alias("more")))
     out = reduce(DataFrame.unionByName, done).withColumn("copies", F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(F.lit(0)).cast("long"))
     return out.withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies", "taken")
@@ -118,10 +120,10 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, text: str = "text", source: str
 
     Rows with the same doc_id, source and text share their decisions out among them, in any order.
     """
-    key = [F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "text_hash")]
-    per = mixed.groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    mine = docs.withColumns({"__d": col(doc_id), "__c": col(source).cast("string"), "__h": F.xxhash64(col(text))})
-    mine = mine.withColumn("__i", F.row_number().over(Window.partitionBy("__d", "__c", "__h").orderBy("__h")) - 1)
-    same = F.col("__d").eqNullSafe(F.col("__doc_id")) & F.col("__c").eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__text_hash"))
-    n = F.get("__copies", F.col("__i")).cast("int")
-    return mine.join(per, same).where(n > 0).select(*[col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), n)).alias("__one")).drop("__one")
+    both = lambda *of: [F.xxhash64(F.lit(i), *of).alias(f"__k{i}") for i in (0, 1)]
+    per = mixed.groupBy(*both(F.col("doc_id"), F.col("source"), F.col("text_hash"))).agg(F.min("copies").alias("__base"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("__more"))
+    mine = docs.select("*", *both(col(doc_id), col(source).cast("string"), F.xxhash64(col(text))))
+    # the join's partitions serve the numbering of equal rows, too: texts are shuffled once
+    found = mine.join(per, ["__k0", "__k1"]).withColumn("__i", F.row_number().over(Window.partitionBy("__k0", "__k1").orderBy("__base")))
+    n = (F.col("__base") + F.when(F.col("__i") <= F.col("__more"), 1).otherwise(0)).cast("int")
+    return found.where(n > 0).select(*[col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), n)).alias("__one")).drop("__one")
