@@ -1,12 +1,15 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a broadcast table of frequent pre-tokens and their numbers of tokens; tier two is a cache in each Python
-worker, filled by encoding what tier one misses. No pre-token is ever shuffled, but for the bounded table of tier one.
+worker, filled by encoding what tier one misses. No pre-token is ever shuffled: each task of the sample sends its most frequent ones
+to the driver, which makes tier one of them.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter as Bag
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,8 +24,13 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿŒœ"
 _NUMBERS = "0-9²³¹¼½¾"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xffŒœ–—‘’‚“”„•…€]*")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+#: What the tokenizer's file has to say for the tiers to hold (fixed values); texts of other tokenizers are left to the library.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The worker's cache starts again from the broadcast table beyond so many entries.
 CACHE_ENTRIES = 400_000
+#: Tasks that the sample is dealt to.
+TASKS = 8
 
 
 def _byte_letters() -> list[str]:
@@ -57,13 +65,17 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        said = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+        splits = [x["pattern"].get("Regex") for x in (said["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        self.known = steps == _NORMALIZERS and splits == [_SPLIT]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lengths = Lengths(self.tokenizer, frequent)
 
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
-        if any(s in text for s in self.special) or not _PLAIN.fullmatch(text):
+        if not self.known or any(s in text for s in self.special) or not _PLAIN.fullmatch(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return sum(map(self.lengths.__getitem__, _PIECE.findall(text.lower())))
 
@@ -83,26 +95,30 @@ def _counter(path: str, shared) -> Counter:
 def frequent_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", sample_docs: int = 2000, entries: int = 65_536) -> dict[str, int]:
     """The most frequent pre-tokens of about sample_docs documents, with their numbers of tokens; entries bounds the table.
 
-    The table only saves time: counts are the same with any table, or none.
+    The table only saves time: counts are the same with any table, or none. The driver holds TASKS tables at most.
     """
     from tokenizers import Tokenizer
 
-    step = max(1, docs.count() // max(1, sample_docs))
-    some = docs.select(col(text).cast("string").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(step)) == 0)
+    said = docs.select(col(text).cast("string").alias("t"))
+    step = max(1, (said.agg(F.approx_count_distinct(F.xxhash64("t"))).first()[0] or 0) // max(1, sample_docs))
+    some = said.where(F.pmod(F.xxhash64("t"), F.lit(step)) == 0).distinct()  # equal texts count once
+    some = some.repartition(TASKS)  # of texts: so many tasks send a table at most
 
     def pieces(batches):
-        from collections import Counter as Bag
-
+        bag = Bag()
         for batch in batches:
-            bag = Bag()
             for t in batch.column(0).to_pylist():
                 if t and _PLAIN.fullmatch(t):
                     bag.update(_PIECE.findall(t.lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(bag), pa.string()), pa.array(list(bag.values()), pa.int64())], names=["piece", "n"])
+        top = bag.most_common(entries)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    top = some.mapInArrow(pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "piece").limit(entries)
+    total = Bag()
+    for piece, n in some.mapInArrow(pieces, "piece string, n long").collect():
+        total[piece] += n
+    top = sorted(((n, p) for p, n in total.items() if n > 1), key=lambda x: (-x[0], x[1]))[:entries]
     lengths = Lengths(Tokenizer.from_file(tokenizer_path), {})
-    return {r[0]: lengths[r[0]] for r in top.select("piece").collect()}
+    return {p: lengths[p] for _, p in top}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit: int = 2048, keep: list[str] | None = None, sample_docs: int = 2000) -> DataFrame:
