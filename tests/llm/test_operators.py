@@ -143,6 +143,17 @@ def test_mixing(spark):
     assert all(abs(taken[s] - target[s]) <= 60 for s in names)
 
 
+def test_mixing_of_equal_rows(spark):
+    df = spark.createDataFrame([(1, "a", "x y z")] * 500 + [(2, "b", "u")] * 100, "doc_id long, source string, text string")
+    mixed = mixing.mix(df).cache()
+    got = collections.Counter()
+    for r in mixed.collect():
+        got[r.source] += r.taken
+    targets = {r.source: r.target for r in mixed.collect()}
+    assert all(abs(got[s] - targets[s]) <= 3 for s in targets) and mixed.count() == 600
+    assert mixing.apply_mix(df, mixed).count() == mixed.agg(F.sum("copies")).first()[0]
+
+
 def test_mix_is_applied(odd):
     mixed = mixing.mix(odd)
     assert bag((r.doc_id, r.text) for r in mixing.apply_mix(odd, mixed).collect()).total() == mixed.agg(F.sum("copies")).first()[0]
@@ -166,6 +177,18 @@ def test_quality(odd, documents):
         assert all(not r.kept for r in got if r.base_failed)
 
 
+def test_order_goes_by_measured_cost_and_what_is_left(spark):
+    rows = [(prose(60) + (" ###" * 9 if k % 2 else "") + " x" * (k % 3 == 0),) for k in range(300)]
+    counted = quality.with_counts(spark.createDataFrame(rows, "text string").repartition(2)).cache()
+    slow = F.aggregate(F.sequence(F.lit(1), F.lit(20_000)), F.length("text").cast("long"), lambda a, x: F.pmod(F.xxhash64(a, x), F.lit(1_000_003)))
+    odd = F.col("n_symbols") > 5
+    rules = [quality.Rule("slow", odd & (slow >= 0)), quality.Rule("quick", odd), quality.Rule("third", F.col("n_words") % 3 == 1)]
+    assert quality.measured(counted, rules)["slow"] > 3 * quality.measured(counted, rules)["quick"]
+    order = quality.cascade_order(counted, rules)
+    assert order.index("quick") < order.index("slow") and order[-1] == "slow"  # it rejects nothing that is left
+    assert quality.cascade_order(counted, rules, {"slow": 0.1, "quick": 5.0, "third": 9.0})[0] == "slow"
+
+
 def test_order_of_rules_doesnt_matter(documents):
     rules = quality.default_rules()
     kept = lambda r: bag((x.doc_id, x.kept) for x in quality.judge(documents, rules=r).select("doc_id", "kept").collect())
@@ -315,6 +338,17 @@ def test_fingerprints(odd, documents):
         assert [x for r in got for x in (r.near_edited, r.near_next)] == pytest.approx([x for w in want for x in w[3:]])
 
 
+def test_neighbours_of_any_ids(spark):
+    for ids, kind in ((list(range(6000)) + [10**12], "long"), ([f"id-{k:05d}" for k in range(300)] + ["", "é", None], "string"), ([k / 7 for k in range(50)], "double")):
+        order = sorted(ids, key=lambda i: (i is not None, i if i is not None else 0) if kind != "string" else (i is not None, (i or "").encode()))
+        df = spark.createDataFrame([(i, f"t{i}") for i in ids], f"doc_id {kind}, text string").repartition(3)
+        got = {r.doc_id: r.next_text for r in fingerprints.next_texts(df).collect()}
+        assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+    cuts, n = [float(x) for x in range(0, 1000, 10)], 4
+    rows = spark.range(1000).select("id", fingerprints._run(F.col("id").cast("double"), cuts, n).alias("run")).orderBy("id").collect()
+    assert [r.run for r in rows] == sorted(r.run for r in rows) and max(collections.Counter(r.run for r in rows).values()) <= 10
+
+
 def test_returned_fingerprints_peel(spark):
     # read back from the returned text, the sketches alone tell what differs, for any number of paragraphs
     rng = random.Random(8)
@@ -349,6 +383,23 @@ def test_language(documents):
     assert langs[:3] == ["und"] * 3 and list(score[:3]) == [0, 0, 0] and list(rejected[:3]) == [True] * 3
 
 
+def test_language_sample_is_bounded_and_rejects_what_it_never_saw(spark, documents):
+    many = spark.range(5000).select(F.lit("the same words here").alias("text"), F.lit("en").alias("lang")).unionByName(documents.select("text", "lang"))
+    held = {}
+    train, language.train = language.train, lambda texts, langs: held.update(n=len(texts), langs=set(langs)) or train(texts[:50], langs[:50])
+    try:
+        language.fit(many.unionByName(spark.createDataFrame([("x" * 70_000, f"l{k}") for k in range(3)], "text string, lang string")), sample_docs=100)
+    finally:
+        language.train = train
+    assert held["n"] <= 7 * 20 and held["langs"] >= {"en", "l0", "l1", "l2"}
+    some = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null")
+    rows = [(r.text, r.lang) for r in some.collect()]
+    known = [r for r in rows if r[1] != "fr"]
+    model = language.train([t for t, _ in known[::2]], [x for _, x in known[::2]])
+    rejected = lambda some: model.predict(pa.array([t for t, _ in some]))[2].mean()
+    assert rejected([r for r in rows if r[1] == "fr"]) >= 0.8 and rejected(known[1::2]) <= 0.05
+
+
 RULED = [
     ("http://a.com/x", "a.com", "/x", "com/", "allow"),
     ("https://b.EXAMPLE.com/en/7?q#z", "b.example.com", "/en/7", "example.com/en/", "block"),
@@ -358,8 +409,8 @@ RULED = [
     ("http://x.net/Es/1", "x.net", "/Es/1", None, None),
     ("http://net/fr/", "net", "/fr/", "net/fr/", "block"),
     ("http://a.com?x=/y", "a.com", "", None, None),
-    ("a.com/x", "", "", None, "block"),
-    (None, "", "", None, "block"),
+    ("a.com/x", "", "", None, None),
+    (None, "", "", None, None),
 ]
 
 
@@ -430,6 +481,23 @@ def test_html_of_other_makes():
     assert [b[1] for b in html_text.blocks("<p>a&amp;b <b>c</b>d\n\n e<br>f<style>x</style><!-- y --><p title='>'>g")] == ["a&b cd e", "f", "g"]
 
 
+def test_html_nested_pages_take_linear_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    found = html_text.blocks("<div class=a>x" * 20_000 + "</p></b>" * 20_000)
+    assert len(found) == 20_000 and tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    path = html_text.blocks("<div class='b c'><p>x</p></div><p>y")
+    assert path[0][0] & path[1][0] == path[1][0] != path[0][0]
+
+
+def test_html_without_article():
+    words = lambda n: " ".join(VOCABULARY[:n])
+    page = f"<body><nav><ul><li><a href=/>home</a><li><a href=/b>news</a></ul></nav><div class='content'><h1>{words(5)}</h1><p>{words(60)}.</p><p>{words(40)}.</p></div><footer>&copy; all rights</footer>"
+    assert html_text.main_text(page, html_text.labeller()) == f"{words(5)} {words(60)}. {words(40)}."
+
+
 def test_html_drops_no_text_after_or_in_other_elements():
     said = lambda page: " ".join(b[1] for b in html_text.blocks(page))
     for tag in ('<svg class="i"/>', "<math/>", "<svg>", "<object data=x>", "<canvas>", "<iframe src=x>", "<template>"):
