@@ -122,7 +122,7 @@ def contours(labelled: DataFrame, least_area: float = LEAST_AREA, epsilon: float
         length = sum(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a, b in closed)
         return pd.DataFrame({"image_id": [runs.image_id.iloc[0]], "area_pixels": [float(size)], "polygon": [[[float(x), float(y)] for x, y in _simplified(ring, epsilon * length)]]})
 
-    found = labelled.groupBy("image_id", "component").applyInPandas(trace, "image_id string, area_pixels double, polygon array<array<double>>")
+    found = labelled.groupBy("image_id", "component").applyInPandas(trace, f"image_id {labelled.schema['image_id'].dataType.simpleString()}, area_pixels double, polygon array<array<double>>")
     top, left = F.array_min(F.transform("polygon", lambda p: p[1])), F.array_min(F.transform("polygon", lambda p: p[0]))
     number = F.row_number().over(Window.partitionBy("image_id").orderBy(top.desc(), left.asc(), F.col("area_pixels").desc()))
     return found.select("image_id", building_id(number).alias("building_id"), "area_pixels", "polygon")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from parcelwise.functions.rounding import py_round
 
 RATIO, LEAST_MATCHES = 0.75, 8
+#: Descriptors of an image that are held at once.
+CHUNK = 1024
 
 
 def image_pairs(images: DataFrame, image: str = "image") -> DataFrame:
@@ -28,10 +30,12 @@ def _matrix(row: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
 def nearest_two(pairs: DataFrame, descriptors: DataFrame) -> DataFrame:
     """(image_a, image_b, kp_idx, n, d1, d2): each descriptor of a against all of b; n, the neighbours found, is 2 at most.
 
-    A pair is one row with both images' descriptors, which a detector's limit bounds; distances are worked out in blocks.
+    Images come in chunks of about CHUNK descriptors, and each two chunks of a pair are one row, so no row grows with an image; what
+    the chunks of b give for a descriptor is merged.
     """
     d = descriptors.select("image", "kp_idx", F.transform("descriptor", lambda x: x.cast("double")).alias("v"))
-    every = d.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("kp_idx", "v"))).alias("d"))
+    sizes = descriptors.groupBy("image").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("__chunks"))
+    every = d.join(sizes, "image").groupBy("image", F.pmod(F.xxhash64("kp_idx"), "__chunks").alias("chunk")).agg(F.collect_list(F.struct("kp_idx", "v")).alias("d"))
     side = lambda k: every.select(F.col("image").alias(f"image_{k}"), F.col("d").alias(k))
     both = pairs.select("image_a", "image_b").join(side("a"), "image_a").join(side("b"), "image_b").select("image_a", "image_b", "a", "b")
 
@@ -48,7 +52,10 @@ def nearest_two(pairs: DataFrame, descriptors: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*one, pa.array(index), pa.array(np.full(n, min(2, len(b)), np.int32)), pa.array(near[:, 0]), pa.array(near[:, 1], mask=np.full(n, len(b) < 2))], names=["image_a", "image_b", "kp_idx", "n", "d1", "d2"])
 
     kind, index = both.schema["image_a"].dataType.simpleString(), d.schema["kp_idx"].dataType.simpleString()
-    return both.mapInArrow(run, f"image_a {kind}, image_b {kind}, kp_idx {index}, n int, d1 double, d2 double")
+    near = both.mapInArrow(run, f"image_a {kind}, image_b {kind}, kp_idx {index}, n int, d1 double, d2 double")
+    least = F.slice(F.sort_array(F.array_compact(F.flatten(F.collect_list(F.array("d1", "d2"))))), 1, 2)
+    near = near.groupBy("image_a", "image_b", "kp_idx").agg(least.alias("two"))
+    return near.select("image_a", "image_b", "kp_idx", F.size("two").alias("n"), F.get("two", F.lit(0)).alias("d1"), F.get("two", F.lit(1)).alias("d2"))
 
 
 def ratio_matches(pairs: DataFrame, descriptors: DataFrame, ratio: float = RATIO) -> DataFrame:

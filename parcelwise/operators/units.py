@@ -57,6 +57,12 @@ def unit_rows(buildings: DataFrame, authority: Column) -> DataFrame:
     return flat.select("building_id", "floor_number", floor_id(F.col("floor_number")).alias("floor_id"), "flat", unit_id(F.col("authority"), F.col("building_id"), F.col("floor_number"), F.col("flat")).alias("unit_id"))
 
 
+def grand_totals(buildings: DataFrame) -> DataFrame:
+    """One row of all buildings (with floors and flats a floor): buildings, floors, units."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return buildings.agg(F.count(F.lit(1)).alias("buildings"), total(F.col("floors")).alias("floors"), total(F.col("floors") * F.col("flats")).alias("units"))
+
+
 def analyse_elevation(samples: DataFrame, key: str = "building_id", floor_height: float = FLOOR_HEIGHT) -> DataFrame:
     """Median of max(dsm - dem, 0) by building, rounded to 2 digits, and floors; samples without both don't count, none gives 0."""
     each = samples.select(key, F.greatest(F.col("dsm") - F.col("dem"), F.lit(0.0)).alias("rise"))

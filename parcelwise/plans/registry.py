@@ -291,14 +291,17 @@ def folder_topk(spark, sf_dir):
     return building_folders(read(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct(), prefix="brand#")
 
 
-@query()
+@query(f"""WITH {_GRID}, q AS (SELECT building_id, (2 * w * w)::DOUBLE AS area, 4.0::DOUBLE * sqrt(2.0::DOUBLE * w * w) AS p, 7.0::DOUBLE * w * w / 6.0::DOUBLE AS c FROM g)
+SELECT building_id, area, {py_round_sql("p", 4)} AS perimeter, true AS simple, {py_round_sql("c", 4)} AS common FROM q""")
 def polygon_clip(spark, sf_dir):
-    """Turned squares against notched parcels."""
+    """Turned squares of half a diagonal w against parcels with a notch: 7/6 w w in common."""
     g = _grid(spark, sf_dir)
     x, z, w = F.col("x").cast("double"), F.col("z").cast("double"), F.col("w").cast("double")
     at = lambda a, b: F.array(x + a * w, z + b * w)
     g = g.select("building_id", F.array(at(0, -1), at(1, 0), at(0, 1), at(-1, 0)).alias("one"), F.array(at(-1, -1), at(0.5, -1), at(0.5, 0.5), at(0, 0), at(-1, 0.5)).alias("other"))
-    return g.select("building_id", area(F.col("one")).alias("area"), perimeter(F.col("one")).alias("perimeter"), is_simple(F.col("other")).alias("simple"), intersection_area(F.col("one"), F.col("other")).alias("common"))
+    common = F.inline(F.array(F.struct(intersection_area(F.col("one"), F.col("other")).alias("common"), perimeter(F.col("one")).alias("round"))))
+    g = g.select("building_id", area(F.col("one")).alias("area"), is_simple(F.col("other")).alias("simple"), common)
+    return g.select("building_id", "area", py_round(F.col("round"), 4).alias("perimeter"), "simple", py_round(F.col("common"), 4).alias("common"))
 
 
 @query()
@@ -309,3 +312,92 @@ def ransac(spark, sf_dir):
     wrong = F.pmod("l_partkey", F.lit(4)) == 0
     points = li.select(F.col("l_suppkey").alias("image_a"), (F.col("l_suppkey") + 1).alias("image_b"), xa.alias("xa"), ya.alias("ya"), F.when(wrong, ya).otherwise(0.9 * xa - 0.1 * ya + 12).alias("xb"), F.when(wrong, xa).otherwise(0.1 * xa + 0.9 * ya - 5).alias("yb"))
     return pairs.verify_geometry(points)
+
+
+@query(f"WITH {_HEIGHTS} SELECT count(*) AS buildings, sum(floors)::BIGINT AS floors, sum(floors * flats)::BIGINT AS units FROM h")
+def unit_grand_totals(spark, sf_dir):
+    return units.grand_totals(_heights(spark, sf_dir))
+
+
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = properties.build_properties(_grid(spark, sf_dir))
+    return properties.add_identifiers(properties.merge_validation(built, _matched(spark, sf_dir)), authority_ids(spark, AUTHORITY_IDS))
+
+
+_IDENTIFIED = f"""{_MATCHED}, a(parcel_id, official_id) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in AUTHORITY_IDS.items())}),
+h0 AS (SELECT building_id, (w * d)::DOUBLE AS area, greatest(6.0::DOUBLE, least(30.0::DOUBLE, (w * d) / 100.0::DOUBLE)) AS raw FROM g),
+h AS (SELECT building_id, area, {py_round_sql("raw", 2)} AS height, greatest(1, least(10, round_even(area / 70.0::DOUBLE, 0)::INTEGER))::INTEGER AS flats FROM h0),
+i AS (SELECT h.building_id, area, height, greatest(round_even(height / 3.0::DOUBLE, 0)::INTEGER, 1)::INTEGER AS floors, flats, m.parcel_id, m.validation_status, coalesce(official_id, '{NO_AUTHORITY_ID}') AS official_ulpin
+  FROM h JOIN m ON h.building_id = m.building_id LEFT JOIN a ON m.parcel_id = a.parcel_id)"""
+
+
+@query(f"""WITH {_IDENTIFIED} SELECT building_id, height AS height_meters, floors AS estimated_floors, (floors * flats)::INTEGER AS total_estimated_flats, validation_status, parcel_id,
+  official_ulpin, official_ulpin || '-' || building_id AS building_property_id, 'PROTOTYPE' AS identifier_status FROM i""")
+def property_records(spark, sf_dir):
+    r = _identified(spark, sf_dir)
+    return r.select("building_id", F.col("measurements.height_meters"), F.col("measurements.estimated_floors"), F.col("apartments.total_estimated_flats"), F.col("validation.status").alias("validation_status"), "validation.parcel_id", "official_ulpin", "building_property_id", "identifier_status")
+
+
+@query(f"""WITH {_IDENTIFIED}, f AS (SELECT *, unnest(range(floors))::INTEGER AS floor_number FROM i)
+SELECT building_id, floor_number, CASE WHEN floor_number = 0 THEN 'Ground Floor' ELSE 'Floor ' || floor_number END AS floor_label, printf('F%02d', floor_number) AS floor_id, flats AS estimated_flat_count,
+  list_aggregate(list_transform(range(1, flats + 1), lambda k: official_ulpin || '-' || building_id || '-' || printf('F%02d', floor_number) || '-U' || CASE WHEN floor_number = 0 THEN printf('G%02d', k) ELSE printf('%d%02d', floor_number, k) END), 'string_agg', ' ') AS unit_ids FROM f""")
+def property_floors(spark, sf_dir):
+    r = _identified(spark, sf_dir).select("building_id", F.explode("apartments.floors").alias("f"))
+    return r.select("building_id", "f.floor_number", "f.floor_label", "f.floor_id", "f.estimated_flat_count", F.array_join(F.col("f")["3d_property_ids"], " ").alias("unit_ids"))
+
+
+@query("""WITH p AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS building_id, url FROM pages WHERE url IS NOT NULL)
+SELECT building_id, count(*)::INTEGER AS image_count, string_agg(url, '|' ORDER BY url) AS images FROM p GROUP BY 1""")
+def images_by_building(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").where("url is not null").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("building_id"), F.col("url").alias("filename"))
+    found = inventory.images_by_building(p, p.select("building_id").distinct())
+    return found.select("building_id", "image_count", F.array_join(F.transform("images", lambda x: x["filename"]), "|").alias("images"))
+
+
+@query("""WITH m AS (SELECT p_partkey // 100 AS image_id, (p_partkey % 100) // 10 AS y, p_partkey % 10 AS x, CASE WHEN (p_partkey * p_partkey * 31 + p_partkey * 7) % 101 < 36 THEN 255 ELSE 0 END AS value FROM part),
+n AS (SELECT unnest(range(25)) AS i)
+SELECT image_id::VARCHAR AS path, a.i::INTEGER AS y, b.i::INTEGER AS x, 0 AS c, value FROM m JOIN n a ON a.i * 10 // 25 = m.y JOIN n b ON b.i * 10 // 25 = m.x""")
+def pixel_resize(spark, sf_dir):
+    m = _mask(spark, sf_dir).select(F.col("image_id").cast("string").alias("path"), "y", "x", F.lit(0).alias("c"), "value")
+    return footprints.resized(m, 10, 10, 25, 25)
+
+
+@query("""SELECT vec_id, (i // 12)::INTEGER AS y, (i // 3 % 4)::INTEGER AS x, (i % 3)::INTEGER AS c, (i % 3 * 12 + i // 12 * 4 + i // 3 % 4)::INTEGER AS idx
+FROM (SELECT vec_id, unnest(range(36)) AS i FROM embeddings)""")
+def pixel_channels(spark, sf_dir):
+    i = F.col("i")
+    p = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(35))).alias("i"))
+    p = p.select("vec_id", F.floor(i / 12).cast("int").alias("y"), F.pmod(F.floor(i / 3), F.lit(4)).cast("int").alias("x"), F.pmod(i, F.lit(3)).alias("c"))
+    return footprints.channel_first(p, 3, 4)
+
+
+@query(f"WITH {_PIXELS} SELECT vec_id, idx, (1 / (1 + exp(-(value - 127.0::DOUBLE))) > 0.5::DOUBLE)::INTEGER AS mask FROM p")
+def pixel_sigmoid(spark, sf_dir):
+    return _pixels(spark, sf_dir).select("vec_id", "idx", footprints.sigmoid_mask(F.col("value") - 127.0).alias("mask"))
+
+
+@query("""WITH m AS (SELECT p_partkey // 100 AS image_id, (p_partkey % 100) // 10 AS y, p_partkey % 10 AS x, CASE WHEN (p_partkey * p_partkey * 31 + p_partkey * 7) % 101 < 36 THEN 255 ELSE 0 END AS value FROM part),
+r AS (SELECT s_suppkey % 7 AS image_id, s_suppkey AS ord, s_suppkey * 3 % 8 AS x1, s_suppkey * 5 % 8 AS y1, s_suppkey * 3 % 8 + s_suppkey % 4 AS x2, s_suppkey * 5 % 8 + s_suppkey % 3 AS y2, 100 + s_suppkey % 100 AS value FROM supplier)
+SELECT m.image_id, m.y::INTEGER AS y, m.x::INTEGER AS x, coalesce(max_by(r.value, r.ord), any_value(m.value))::BIGINT AS value
+FROM m LEFT JOIN r ON m.image_id = r.image_id AND m.x BETWEEN x1 AND x2 AND m.y BETWEEN y1 AND y2 GROUP BY 1, 2, 3""")
+def raster_paint(spark, sf_dir):
+    k = F.col("s_suppkey").cast("long")
+    x, y = F.pmod(k * 3, F.lit(8)), F.pmod(k * 5, F.lit(8))
+    r = read(spark, sf_dir, "supplier").select(F.pmod(k, F.lit(7)).alias("image_id"), k.alias("ord"), x.alias("x1"), y.alias("y1"), (x + F.pmod(k, F.lit(4))).alias("x2"), (y + F.pmod(k, F.lit(3))).alias("y2"), (100 + F.pmod(k, F.lit(100))).alias("value"))
+    return footprints.rasterize(_mask(spark, sf_dir).withColumn("value", F.col("value").cast("long")), r)
+
+
+@query("""SELECT l_suppkey AS image_a, l_linenumber AS image_b, count(*) AS fundamental_inliers, (row_number() OVER (ORDER BY count(*) DESC, l_suppkey, l_linenumber))::INTEGER AS rank FROM lineitem GROUP BY 1, 2""")
+def pair_ranks(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image_a"), F.col("l_linenumber").alias("image_b")).agg(F.count(F.lit(1)).alias("fundamental_inliers"))
+    return pairs.ranked(li, "fundamental_inliers")
+
+
+@query("""WITH li AS (SELECT l_suppkey, l_partkey, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+a AS (SELECT l_suppkey, (l_partkey * 37 % 640)::DOUBLE AS xa, ((l_partkey * 91 + q) % 480)::DOUBLE AS ya, l_partkey % 4 = 0 AS wrong FROM li),
+b AS (SELECT *, CASE WHEN wrong THEN ya ELSE 0.9::DOUBLE * xa - 0.1::DOUBLE * ya + 12 END AS xb, CASE WHEN wrong THEN xa ELSE 0.1::DOUBLE * xa + 0.9::DOUBLE * ya - 5 END AS yb FROM a),
+c AS (SELECT *, sqrt(pow(xb - (0.9::DOUBLE * xa - 0.1::DOUBLE * ya + 12), 2) + pow(yb - (0.1::DOUBLE * xa + 0.9::DOUBLE * ya - 5), 2)) AS off FROM b)
+SELECT l_suppkey AS image_a, l_suppkey + 1 AS image_b, count(*)::INTEGER AS raw_matches, (CASE WHEN count(*) < 8 THEN 0 ELSE count(*) FILTER (off <= 3) END)::INTEGER AS homography_inliers FROM c GROUP BY 1""")
+def ransac_homography(spark, sf_dir):
+    """The right points follow one exact model, so its inliers are known."""
+    return ransac(spark, sf_dir).select("image_a", "image_b", "raw_matches", "homography_inliers")

@@ -15,9 +15,13 @@ CENSUS_SUFFIXES = ("jpg", "jpeg", "png", "tif", "tiff")
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of records with `ord`, its place in the array; a missing file is an error. Missing fields and nulls both come as null."""
+    """A JSON array of records with `ord`, its place in the array; a missing file is an error, and so is one that is cut off or no JSON array.
+
+    Missing fields and nulls both come as null. An array is one row and one task; records without such an end belong in JSON lines.
+    """
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("ord", "r")).select("r.*", "ord")
+    found = F.from_json("value", f"array<struct<{_fields(schema)}>>", {"mode": "FAILFAST"})
+    return whole.select(F.posexplode(F.coalesce(found, F.raise_error(F.lit("not a JSON array")))).alias("ord", "r")).select("r.*", "ord")
 
 
 def _fields(ddl: str) -> str:
@@ -76,7 +80,7 @@ def image_inventory(found: DataFrame, files: DataFrame) -> DataFrame:
     good = lambda c: F.when(~bad, c)
     return joined.select(
         folder_name(F.col("path")).alias("building_id"), file_name(F.col("path")).alias("filename"), good(suffix(F.col("path"))).alias("extension"), good(F.col("width")).alias("width"),
-        good(F.col("height")).alias("height"), good(mode).alias("mode"), good(py_round(F.col("length") / F.lit(1048576.0), 3)).alias("size_mb"), view_of(F.col("path")).alias("view_type"),
+        good(F.col("height")).alias("height"), good(mode).alias("mode"), good(py_round(F.col("length") / F.lit(1048576.0), 3)).alias("size_mb"), view_of(file_name(F.col("path"))).alias("view_type"),
         F.when(bad, F.lit("cannot be decoded")).alias("error"),
     )
 

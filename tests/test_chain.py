@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,10 @@ def test_json_records(spark, tmp_path):
     assert [(r.ord, r.parcel_id, r.polygon) for r in got] == [(0, "P1", [[0.0, 0.0], [1.0, 0.5]]), (1, None, None)]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.read_records(spark, str(tmp_path / "no.json"), PARCEL).collect()
+    for said in ('[{"parcel_id": "P1"}, {"parcel', "no JSON", '{"parcel_id": 5'):
+        (tmp_path / "cut.json").write_text(said)
+        with pytest.raises(Exception, match="(?i)malformed|not a JSON array"):
+            files.read_records(spark, str(tmp_path / "cut.json"), PARCEL).collect()
 
 
 def test_file_census(spark, tmp_path):
@@ -130,3 +136,18 @@ def test_queries_match_sql(spark):
         names = sorted(df.columns)
         want = sorted(str([same(dict(zip([d[0] for d in found.description], r, strict=True))[c]) for c in names]) for r in found.fetchall())
         assert sorted(str([same(r[c]) for c in names]) for r in df.collect()) == want, name
+
+
+def test_nearest_two_in_chunks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"i{i}", k, [rng.random() for _ in range(4)]) for i, n in enumerate((40, 33, 1)) for k in range(n)]
+    d = spark.createDataFrame(rows, "image string, kp_idx int, descriptor array<double>")
+    monkeypatch.setattr(pairs, "CHUNK", 7)
+    got = {(r.image_a, r.image_b, r.kp_idx): (r.n, r.d1, r.d2) for r in pairs.nearest_two(pairs.image_pairs(d), d).collect()}
+    want = {}
+    for a, k, v in rows:
+        for b in ("i0", "i1", "i2"):
+            if a < b:
+                two = sorted(math.dist(v, w) for c, _, w in rows if c == b)[:2]
+                want[a, b, k] = (len(two), pytest.approx(two[0]), pytest.approx(two[1]) if len(two) > 1 else None)
+    assert got == want
