@@ -98,11 +98,17 @@ def _simplified(ring: list, epsilon: float) -> list:
     far = max(range(len(ring)), key=lambda i: (ring[i][0] - ring[0][0]) ** 2 + (ring[i][1] - ring[0][1]) ** 2)
 
     def between(points: list) -> list:
-        (x1, y1), (x2, y2) = points[0], points[-1]
-        length = ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5
-        off = [abs((x2 - x1) * (y1 - y) - (x1 - x) * (y2 - y1)) / length if length else ((x - x1) ** 2 + (y - y1) ** 2) ** 0.5 for x, y in points]
-        k = max(range(len(points)), key=off.__getitem__)
-        return between(points[: k + 1])[:-1] + between(points[k:]) if off[k] > epsilon and 0 < k < len(points) - 1 else [points[0], points[-1]]
+        kept, open_parts = {0, len(points) - 1}, [(0, len(points) - 1)]
+        while open_parts:
+            i, j = open_parts.pop()
+            (x1, y1), (x2, y2) = points[i], points[j]
+            length = ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5
+            off = [abs((x2 - x1) * (y1 - y) - (x1 - x) * (y2 - y1)) / length if length else ((x - x1) ** 2 + (y - y1) ** 2) ** 0.5 for x, y in points[i + 1 : j]]
+            if off and max(off) > epsilon:
+                k = i + 1 + off.index(max(off))
+                kept.add(k)
+                open_parts += [(i, k), (k, j)]
+        return [points[i] for i in sorted(kept)]
 
     return between(ring[: far + 1])[:-1] + between([*ring[far:], ring[0]])[:-1]
 
