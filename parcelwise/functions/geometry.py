@@ -123,18 +123,82 @@ def intersection_area(one: Column, other: Column) -> Column:
     return F.when((F.size(one) < 3) | (F.size(other) < 3), F.lit(0.0)).when(_convex(other), area(clip(one, other))).otherwise(general)
 
 
+def total_area(parts: Column) -> Column:
+    """Of rings that don't overlap."""
+    return F.aggregate(parts, F.lit(0.0), lambda n, r: n + area(r))
+
+
+def common_area(ones: Column, others: Column) -> Column:
+    """Of two lists of rings; those of one list don't overlap."""
+    return F.aggregate(ones, F.lit(0.0), lambda n, a: n + F.aggregate(others, F.lit(0.0), lambda m, b: m + intersection_area(a, b)))
+
+
+def is_rectangle(ring: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether the ring is its own bounding box, from any corner and either way round."""
+    at = lambda k: F.get(ring, F.lit(k))
+    corner = F.forall(ring, lambda p: ((p[0] == x1) | (p[0] == x2)) & ((p[1] == y1) | (p[1] == y2)))
+    opposite = lambda p, q: (p[0] != q[0]) & (p[1] != q[1])
+    return F.coalesce((F.size(ring) == 4) & corner & opposite(at(0), at(2)) & opposite(at(1), at(3)) & ((at(0)[0] == at(1)[0]) != (at(0)[1] == at(1)[1])), F.lit(False))
+
+
 def is_simple(ring: Column) -> Column:
-    """Whether no two sides cross that don't follow one another; others are better flagged than measured."""
+    """Whether no two sides meet that don't follow one another; points that repeat the next one don't count."""
 
     def of(r: Column) -> Column:
         n = F.size(r)
         at = lambda i: F.get(r, F.pmod(i, n))
 
-        def crosses(i: Column, j: Column) -> Column:
+        def apart(a: Column, b: Column, c: Column, d: Column, k: int) -> Column:
+            return (F.greatest(a[k], b[k]) < F.least(c[k], d[k])) | (F.greatest(c[k], d[k]) < F.least(a[k], b[k]))
+
+        def meets(i: Column, j: Column) -> Column:
             a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
-            return (j > i + 1) & ~((i == 0) & (j == n - 1)) & (_side(a, b, c) * _side(a, b, d) < 0) & (_side(c, d, a) * _side(c, d, b) < 0)
+            across = (_side(a, b, c) * _side(a, b, d) <= 0) & (_side(c, d, a) * _side(c, d, b) <= 0)
+            return (j > i + 1) & ~((i == 0) & (j == n - 1)) & ~apart(a, b, c, d, 0) & ~apart(a, b, c, d, 1) & across
 
         every = F.sequence(F.lit(0), n - 1)
-        return F.when(n < 4, F.lit(True)).otherwise(~F.exists(every, lambda i: F.exists(every, lambda j: crosses(i, j))))
+        return F.when(n < 4, F.lit(True)).otherwise(~F.exists(every, lambda i: F.exists(every, lambda j: meets(i, j))))
 
-    return let(ring, of)
+    return let(let(ring, lambda r: F.filter(r, lambda p, i: p != F.get(r, F.pmod(i + 1, F.size(r))))), of)
+
+
+def repaired(ring: Column) -> Column:
+    """Trapezoids (rings that don't overlap) of what a ring encloses that crosses or touches itself; none for an empty ring.
+
+    The ring is cut into strips at all corners and crossings. What its sides go around the same way as the place below the topmost
+    corner counts (once, however often they do); what they go around the other way doesn't, so a bow tie keeps one of its halves.
+    """
+    none = F.array().cast("array<array<array<double>>>")
+
+    def side(p: Column, q: Column) -> Column:
+        slope = (q[0] - p[0]) / (q[1] - p[1])
+        return F.struct(F.least(p[1], q[1]).alias("low"), F.greatest(p[1], q[1]).alias("high"), slope.alias("m"), (p[0] - slope * p[1]).alias("c"), F.when(q[1] > p[1], -1).otherwise(1).alias("turn"))
+
+    def sides(r: Column) -> Column:
+        pairs = F.transform(r, lambda p, i: F.struct(p.alias("p"), F.get(r, F.pmod(i + 1, F.size(r))).alias("q")))
+        return F.transform(F.filter(pairs, lambda s: s["p"][1] != s["q"][1]), lambda s: side(s["p"], s["q"]))
+
+    def crossings(s: Column) -> Column:
+        ys = F.transform(s, lambda e: F.transform(F.filter(s, lambda f: f["m"] != e["m"]), lambda f: F.struct(((f["c"] - e["c"]) / (e["m"] - f["m"])).alias("y"), F.greatest(e["low"], f["low"]).alias("low"), F.least(e["high"], f["high"]).alias("high"))))
+        return F.transform(F.filter(F.flatten(ys), lambda t: (t["low"] < t["y"]) & (t["y"] < t["high"])), lambda t: t["y"])
+
+    def strip(s: Column, low: Column, high: Column) -> Column:
+        """Places between two following sides, from the left: how often they are gone around, and the trapezoid."""
+        x = lambda e, y: e["m"] * y + e["c"]
+        across = F.array_sort(F.transform(F.filter(s, lambda e: (e["low"] <= low) & (e["high"] >= high)), lambda e: F.struct(x(e, (low + high) / 2).alias("at"), x(e, low).alias("xl"), x(e, high).alias("xh"), e["turn"].alias("turn"))))
+
+        def place(t: Column, k: Column) -> Column:
+            l, r = F.get(t, k), F.get(t, k + 1)  # noqa: E741
+            return F.struct(F.aggregate(F.slice(t, 1, k + 1), F.lit(0), lambda n, e: n + e["turn"]).alias("times"), F.array(_xy(l["xl"], low), _xy(r["xl"], low), _xy(r["xh"], high), _xy(l["xh"], high)).alias("ring"))
+
+        return let(across, lambda t: F.when(F.size(t) < 2, F.array().cast("array<struct<times:int,ring:array<array<double>>>>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda k: place(t, k))))
+
+    def places(s: Column) -> Column:
+        ys = F.array_sort(F.array_distinct(F.concat(F.transform(s, lambda e: e["low"]), F.transform(s, lambda e: e["high"]), crossings(s))))
+        return let(ys, lambda y: F.transform(F.sequence(F.size(y) - 2, F.lit(0), F.lit(-1)), lambda i: strip(s, F.get(y, i), F.get(y, i + 1))))
+
+    def chosen(strips: Column) -> Column:
+        way = F.get(F.get(strips, F.lit(0)), F.lit(0))["times"]
+        return let(way, lambda w: F.transform(F.filter(F.flatten(strips), lambda p: p["times"] * w > 0), lambda p: p["ring"]))
+
+    return let(ring, lambda r: let(sides(r), lambda s: F.when(F.size(s) < 2, none).otherwise(let(places(s), chosen))))

@@ -6,11 +6,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.functions.geometry import area, rectangle
+from parcelwise.functions.geometry import rectangle
 from parcelwise.functions.names import building_id
+from parcelwise.operators.positions import with_position
+from parcelwise.sources.files import shared_folder
 
 # buildings' types by their number
 TYPES = ("residential", "residential", "commercial", "residential", "institutional")
+# Statuses of buildings that come from the grid
+DETECTION, GEOMETRY = "DATASET_DERIVED_PROTOTYPE", "PROTOTYPE_ESTIMATE"
+# The ground of synthetic images (red, green, blue)
+BACKGROUND = (120, 150, 110)
 LEAST_AREA, EPSILON = 50.0, 0.02
 
 
@@ -20,18 +26,32 @@ def city_grid(numbers: DataFrame, number: str = "n") -> DataFrame:
     i = n - 1
     of = lambda a, k, m: (F.lit(a) + F.pmod(n * k, F.lit(m))).cast("int")
     base = numbers.select(n.alias("n"), building_id(n).alias("building_id"), of(8, 3, 9).alias("w"), of(7, 5, 8).alias("d"), of(2, 7, 6).alias("floors"), (18 + 22 * F.pmod(i, F.lit(5))).cast("int").alias("x"), (18 + 20 * F.floor(i / 5)).cast("int").alias("z"))
-    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.pmod(i, F.lit(5)) + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.pmod(F.col("n") - 1, F.lit(5)) + 1).cast("int"))
     return base.withColumns(
         {
             "h": F.col("floors") * 3.0,
             "area_pixels": (F.col("w") * F.col("d")).cast("double"),
             "type": kind,
-            "hasBasement": F.pmod(n, F.lit(5)) == 0,
+            "hasBasement": F.pmod("n", F.lit(5)) == 0,
             "polygon": rectangle(F.col("x") - F.col("w") / 2, F.col("z") - F.col("d") / 2, F.col("x") + F.col("w") / 2, F.col("z") + F.col("d") / 2),
         }
     )
 
 
+def city_of_folders(folders: DataFrame) -> DataFrame:
+    """The city grid of building folders (name, number, image_count), numbered from 1 by number, then name; raises where there is none.
+
+    The order is that of building_folders(), whose length its own limit bounds. `ord` is the building's number.
+    """
+    if folders.isEmpty():
+        raise ValueError("no building folders")
+    placed = with_position(folders, F.col("number"), [F.col("name")])
+    named = placed.select((F.col("position") + 1).alias("__n"), F.col("name").alias("source_folder"), F.col("image_count").alias("source_image_count"))
+    grid = city_grid(named.select("__n"), "__n")
+    full = grid.join(named, F.col("n") == F.col("__n")).drop("__n").withColumnRenamed("n", "ord")
+    return full.withColumns({"detection_status": F.lit(DETECTION), "geometry_status": F.lit(GEOMETRY)})
+
+
 def binarize(value: Column, over: float = 127) -> Column:
     return F.when(value > over, 255).otherwise(0)
 
@@ -50,7 +70,7 @@ def components(runs: DataFrame) -> DataFrame:
     """
     spark = runs.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/parcelwise-checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     runs = runs.withColumn("run", F.col("y").cast("long") * (1 << 32) + F.col("x1"))
     a, b = runs.alias("a"), runs.alias("b")
     touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") == F.col("b.y") + 1) & (F.col("a.x1") <= F.col("b.x2") + 1) & (F.col("b.x1") <= F.col("a.x2") + 1)
@@ -143,19 +163,28 @@ def rasterize(pixels: DataFrame, rectangles: DataFrame) -> DataFrame:
 
 
 def synthetic_rectangles(images: DataFrame, size: int = 640, seed: int = 7) -> DataFrame:
-    """For (image_id): 3 to 8 rectangles an image, 50 to 140 by 50 to 120, ten pixels from the edges, grey 170 to 230, by a seeded hash."""
+    """For (image_id): 3 to 8 rectangles an image, 50 to 140 by 50 to 120, ten pixels from the edges, red, green and blue of 170 to 230, by a seeded hash."""
 
     def pick(low: int | Column, high: int | Column, what: str) -> Column:
         return (F.lit(low) + F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "image_id", "ord"), F.lit(high) - F.lit(low) + 1)).cast("int")
 
     base = images.select("image_id", F.lit(-1).alias("ord")).withColumn("k", pick(3, 8, "count")).select("image_id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("ord"))
-    base = base.withColumns({"w": pick(50, 140, "w"), "h": pick(50, 120, "h"), "value": pick(170, 230, "grey")})
+    base = base.withColumns({"w": pick(50, 140, "w"), "h": pick(50, 120, "h"), "red": pick(170, 230, "red"), "green": pick(170, 230, "green"), "blue": pick(170, 230, "blue")})
     base = base.withColumns({"x1": pick(10, F.lit(size - 10) - F.col("w"), "x"), "y1": pick(10, F.lit(size - 10) - F.col("h"), "y")})
-    return base.select("image_id", "ord", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"), "value")
+    return base.select("image_id", "ord", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"), "red", "green", "blue")
+
 
+def synthetic_pixels(rectangles: DataFrame, size: int = 640) -> DataFrame:
+    """(image_id, y, x, red, green, blue, mask): the rectangles on BACKGROUND, corners inclusive, later ones on top; mask is 255 within any, else 0.
 
-def with_area(df: DataFrame, polygon: str = "polygon") -> DataFrame:
-    return df.withColumn("ring_area", area(F.col(polygon)))
+    A pixel is worked out from its own image's rectangles (eight at most), so nothing is joined by places.
+    """
+    all_of = rectangles.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ord", "x1", "y1", "x2", "y2", "red", "green", "blue")), asc=False).alias("r"))
+    places = all_of.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    top = F.get(F.filter("r", lambda t: F.col("x").between(t["x1"], t["x2"]) & F.col("y").between(t["y1"], t["y2"])), F.lit(0))
+    seen = places.select("image_id", "y", "x", top.alias("t"))
+    colours = [F.coalesce(F.col(f"t.{c}"), F.lit(v)).alias(c) for c, v in zip(("red", "green", "blue"), BACKGROUND, strict=True)]
+    return seen.select("image_id", "y", "x", *colours, F.when(F.col("t").isNull(), 0).otherwise(255).alias("mask"))
 
 
 # Raster values: normalised, binary, in channel order, and resized by the nearest pixel.
@@ -170,8 +199,8 @@ def sigmoid_mask(logit: Column) -> Column:
 
 
 def channel_first(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """Adds idx, the flat place of (c, y, x)."""
-    return pixels.withColumn("idx", F.col("c") * (height * width) + F.col("y") * width + F.col("x"))
+    """Adds batch, always 0, and idx, the flat place of (batch, c, y, x)."""
+    return pixels.withColumn("batch", F.lit(0)).withColumn("idx", F.col("c") * (height * width) + F.col("y") * width + F.col("x"))
 
 
 def resized(pixels: DataFrame, height: int, width: int, new_height: int = 640, new_width: int = 640) -> DataFrame:

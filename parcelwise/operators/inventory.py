@@ -38,3 +38,9 @@ def check_count(df: DataFrame, expected: int) -> int:
     if n != expected:
         logging.getLogger(__name__).warning("%d records, %d expected", n, expected)
     return n
+
+
+def mean_losses(batches: DataFrame) -> DataFrame:
+    """(epoch, training_loss, validation_loss) from (epoch, split, loss), a row a batch; split is train or val. A split without batches has null."""
+    mean = lambda split: F.avg(F.when(F.col("split") == split, F.col("loss")))
+    return batches.groupBy("epoch").agg(mean("train").alias("training_loss"), mean("val").alias("validation_loss"))

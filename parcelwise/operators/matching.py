@@ -5,29 +5,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.functions.geometry import area, bounding_box, intersection_area
+from parcelwise.functions.geometry import area, bounding_box, common_area, intersection_area, is_rectangle, is_simple, repaired, total_area
 from parcelwise.functions.names import NO_AUTHORITY_ID, building_property_id
 from parcelwise.functions.rounding import py_round
 
 MATCH_AT, OUTSIDE_UNDER = 0.70, 0.10
 
 
-def overlaps(buildings: DataFrame, parcels: DataFrame, cell: float = 32.0) -> DataFrame:
-    """(building, parcel, iou, coverage) of all pairs with a common area; rows need `__b` and `__p` keys and `polygon`.
+def _levelled(df: DataFrame, key: str, side: str) -> DataFrame:
+    """Key, ring, box, kind and own level (the box's longer side is 2^level at most) of each ring that has an extent and finite corners.
 
-    Both sides go to the grid cells that their boxes touch and meet by an equal join on cells; a pair counts only in the cell of
-    the corner of its common box, so none comes twice. Boxes are compared before any exact area is worked out.
+    kind: 2, a rectangle along the axes; 1, another ring that doesn't meet itself; 0, one that does.
     """
+    ring, box, c = F.col(f"{side}_ring"), bounding_box(F.col("polygon")), lambda name: F.col(f"{side}_{name}")
+    corners = F.struct(*[box[n].alias(f"{side}_{n}") for n in ("x1", "y1", "x2", "y2")])
+    each = df.where(F.size("polygon") >= 3).select(key, F.col("polygon").alias(f"{side}_ring"), F.inline(F.array(corners)))
+    longest, reach = F.greatest(c("x2") - c("x1"), c("y2") - c("y1")), F.abs(c("x1")) + F.abs(c("y1")) + F.abs(c("x2")) + F.abs(c("y2"))
+    each = each.where((longest > 0) & (reach < float("inf")))  # NaN is above infinity
+    kind = F.when(is_rectangle(ring, c("x1"), c("y1"), c("x2"), c("y2")), 2).when(is_simple(ring), 1).otherwise(0)
+    return each.withColumns({f"{side}_level": F.ceil(F.log2(longest)).cast("int"), f"{side}_kind": kind})
+
 
-    def gridded(df: DataFrame, key: str, side: str) -> DataFrame:
-        box = df.select(key, F.col("polygon").alias(f"{side}_poly"), bounding_box(F.col("polygon")).alias(f"{side}_box"))
-        cells = lambda a, b: F.sequence(F.floor(F.col(f"{side}_box.{a}") / cell), F.floor(F.col(f"{side}_box.{b}") / cell))
-        return box.where(F.size(f"{side}_poly") >= 3).withColumn("gx", F.explode(cells("x1", "x2"))).withColumn("gy", F.explode(cells("y1", "y2")))
+def overlaps(buildings: DataFrame, parcels: DataFrame) -> DataFrame:
+    """(building, parcel, iou, coverage) of all pairs with a common area; rows need `__b` and `__p` keys and `polygon`.
 
-    joined = gridded(buildings, "__b", "b").join(gridded(parcels, "__p", "p"), ["gx", "gy"])
-    x1, y1 = F.greatest("b_box.x1", "p_box.x1"), F.greatest("b_box.y1", "p_box.y1")
-    meets = (x1 < F.least("b_box.x2", "p_box.x2")) & (y1 < F.least("b_box.y2", "p_box.y2")) & (F.floor(x1 / cell) == F.col("gx")) & (F.floor(y1 / cell) == F.col("gy"))
-    both = joined.where(meets).select("__b", "__p", F.inline(F.array(F.struct(intersection_area(F.col("b_poly"), F.col("p_poly")).alias("common"), area(F.col("b_poly")).alias("own"), area(F.col("p_poly")).alias("other")))))
+    A box's grid is that of its own size, so it touches four cells at most, and it goes to the coarser grids that boxes of the other
+    side have, too. Two boxes meet by an equal join on the coarser one's grid; a pair counts only in the cell of the corner of its
+    common box, so none comes twice. Boxes are compared before any exact area is worked out, and two rectangles need no clipping.
+    Rings that meet themselves are measured by the parts that repaired() gives. A first job finds levels and kinds of rings; the
+    plan has only the measures that those need.
+    """
+    sides = {"b": _levelled(buildings, "__b", "b"), "p": _levelled(parcels, "__p", "p")}
+    seen = {s: df.groupBy(f"{s}_level").agg(F.min(f"{s}_kind")).collect() for s, df in sides.items()}  # levels are exponents of doubles: 2,100 at most
+    levels, least = {s: sorted(r[0] for r in rows) for s, rows in seen.items()}, min((r[1] for rows in seen.values() for r in rows), default=2)
+
+    def gridded(side: str, other: str) -> DataFrame:
+        own, size, c = F.col(f"{side}_level"), F.pow(F.lit(2.0), "level"), lambda name: F.col(f"{side}_{name}")
+        box, ring, df = (c("x2") - c("x1")) * (c("y2") - c("y1")), c("ring"), sides[side]
+        if least == 2:
+            df = df.withColumn(f"{side}_area", box).drop(f"{side}_ring")
+        elif least == 1:
+            df = df.withColumn(f"{side}_area", F.when(c("kind") == 2, box).otherwise(area(ring)))
+        else:
+            df = df.withColumn(f"{side}_ring", F.when(c("kind") > 0, F.array(ring)).otherwise(repaired(ring)))
+            df = df.withColumn(f"{side}_area", F.when(c("kind") == 2, box).otherwise(total_area(ring)))
+        coarser = F.filter(F.lit(levels[other]) if levels[other] else F.array().cast("array<int>"), lambda v: v > own)
+        cells = lambda a, b: F.sequence(F.floor(c(a) / size), F.floor(c(b) / size))
+        return df.withColumn("level", F.explode(F.concat(F.array(own), coarser))).withColumn("gx", F.explode(cells("x1", "x2"))).withColumn("gy", F.explode(cells("y1", "y2")))
+
+    joined = gridded("b", "p").join(gridded("p", "b"), ["level", "gx", "gy"])
+    x1, y1, size = F.greatest("b_x1", "p_x1"), F.greatest("b_y1", "p_y1"), F.pow(F.lit(2.0), "level")
+    x2, y2 = F.least("b_x2", "p_x2"), F.least("b_y2", "p_y2")
+    here = (F.greatest("b_level", "p_level") == F.col("level")) & (F.floor(x1 / size) == F.col("gx")) & (F.floor(y1 / size) == F.col("gy"))
+    common = (x2 - x1) * (y2 - y1)
+    if least < 2:
+        exact = intersection_area(F.col("b_ring"), F.col("p_ring")) if least else common_area(F.col("b_ring"), F.col("p_ring"))
+        common = F.when((F.col("b_kind") == 2) & (F.col("p_kind") == 2), common).otherwise(exact)
+    both = joined.where((x1 < x2) & (y1 < y2) & here).select("__b", "__p", F.inline(F.array(F.struct(common.alias("common"), F.col("b_area").alias("own"), F.col("p_area").alias("other")))))
     union = F.col("own") + F.col("other") - F.col("common")
     return both.select("__b", "__p", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("iou"), F.when(F.col("own") > 0, F.col("common") / F.col("own")).otherwise(0.0).alias("coverage")).where("iou > 0")
 
@@ -36,14 +70,14 @@ def status(parcel: Column, iou: Column, coverage: Column) -> Column:
     return F.when(parcel.isNull(), "UNREGISTERED").when(coverage < OUTSIDE_UNDER, "OUTSIDE_PARCEL").when(iou >= MATCH_AT, "MATCH").otherwise("PARTIAL_MATCH")
 
 
-def match_parcels(buildings: DataFrame, parcels: DataFrame, cell: float = 32.0, order: str = "ord") -> DataFrame:
+def match_parcels(buildings: DataFrame, parcels: DataFrame, order: str = "ord") -> DataFrame:
     """Each building's best parcel by overlap; of equal ones the first by `order`. Buildings need building_id, polygon and a unique `order`, too.
 
     Gives building_id, order, validation_status, parcel_id, overlap_iou and building_coverage; a building without any common area is UNREGISTERED.
     """
     b = buildings.select("building_id", F.col(order).alias("__b"), "polygon")
     p = parcels.select("parcel_id", F.col(order).alias("__p"), "polygon")
-    found = overlaps(b.drop("building_id"), p.drop("parcel_id"), cell)
+    found = overlaps(b.drop("building_id"), p.drop("parcel_id"))
     best = found.groupBy("__b").agg(F.max(F.struct("iou", (-F.col("__p")).alias("first"), "coverage")).alias("best"))
     named = best.select("__b", "best.iou", "best.coverage", (-F.col("best.first")).alias("__p")).join(p.select("__p", "parcel_id"), "__p")
     out = b.drop("polygon").join(named, "__b", "left")

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.functions.geometry import affine, area, intersection_area, is_simple, perimeter, rectangle
+from parcelwise.functions.geometry import affine, area, common_area, intersection_area, is_simple, perimeter, rectangle, repaired, total_area
 from parcelwise.functions.names import AUTHORITY_IDS, NO_AUTHORITY_ID, building_id, view_of
+from parcelwise.functions.records import nested_get
 from parcelwise.functions.rounding import py_round, py_round_sql
 from parcelwise.operators import footprints, inventory, matching, pairs, positions, properties, units
 from parcelwise.sources.files import authority_ids, building_folders
@@ -362,7 +363,7 @@ def pixel_resize(spark, sf_dir):
     return footprints.resized(m, 10, 10, 25, 25)
 
 
-@query("""SELECT vec_id, (i // 12)::INTEGER AS y, (i // 3 % 4)::INTEGER AS x, (i % 3)::INTEGER AS c, (i % 3 * 12 + i // 12 * 4 + i // 3 % 4)::INTEGER AS idx
+@query("""SELECT vec_id, (i // 12)::INTEGER AS y, (i // 3 % 4)::INTEGER AS x, (i % 3)::INTEGER AS c, (i % 3 * 12 + i // 12 * 4 + i // 3 % 4)::INTEGER AS idx, 0 AS batch
 FROM (SELECT vec_id, unnest(range(36)) AS i FROM embeddings)""")
 def pixel_channels(spark, sf_dir):
     i = F.col("i")
@@ -401,3 +402,42 @@ SELECT l_suppkey AS image_a, l_suppkey + 1 AS image_b, count(*)::INTEGER AS raw_
 def ransac_homography(spark, sf_dir):
     """The right points follow one exact model, so its inliers are known."""
     return ransac(spark, sf_dir).select("image_a", "image_b", "raw_matches", "homography_inliers")
+
+
+@query("""WITH f AS (SELECT 'Building' || s_suppkey AS name, s_suppkey AS number, (s_suppkey % 9)::INTEGER AS k FROM supplier ORDER BY s_suppkey LIMIT 20),
+n AS (SELECT *, row_number() OVER (ORDER BY number) AS n FROM f)
+SELECT printf('B%03d', n) AS building_id, name AS source_folder, k AS source_image_count, (8 + (3 * n) % 9)::INTEGER AS w, (18 + 22 * ((n - 1) % 5))::INTEGER AS x,
+  'DATASET_DERIVED_PROTOTYPE' AS detection_status, 'PROTOTYPE_ESTIMATE' AS geometry_status FROM n""")
+def folder_city(spark, sf_dir):
+    """The city grid of the first twenty building folders, a limit that is the feature's own."""
+    s = read(spark, sf_dir, "supplier").select(F.concat(F.lit("Building"), "s_suppkey").alias("name"), F.pmod("s_suppkey", F.lit(9)).cast("int").alias("image_count"))
+    city = footprints.city_of_folders(building_folders(s).join(s, "name"))
+    return city.select("building_id", "source_folder", "source_image_count", "w", "x", "detection_status", "geometry_status")
+
+
+@query("""SELECT l_linenumber AS epoch, avg(l_quantity) FILTER (l_suppkey % 5 <> 0) AS training_loss, avg(l_quantity) FILTER (l_suppkey % 5 = 0) AS validation_loss FROM lineitem GROUP BY 1""")
+def mean_losses(spark, sf_dir):
+    """Whole numbers stand for the losses, so that their sums don't hang on the order."""
+    split = F.when(F.pmod("l_suppkey", F.lit(5)) == 0, "val").otherwise("train")
+    return inventory.mean_losses(read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("epoch"), split.alias("split"), F.col("l_quantity").alias("loss")))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 6.0::DOUBLE WHEN 1 THEN 6.0::DOUBLE WHEN 2 THEN NULL ELSE p_size::DOUBLE END AS height, CASE WHEN p_partkey % 4 = 0 THEN 'unknown' ELSE p_brand END AS status FROM part""")
+def nested_defaults(spark, sf_dir):
+    """Records with no measurements, without a height, with a null one, and whole ones: only what is missing takes the default."""
+    k, size = F.pmod("p_partkey", F.lit(4)), F.col("p_size").cast("string")
+    inner = F.when(k == 1, "{}").when(k == 2, '{"height": null}').otherwise(F.concat(F.lit('{"height": '), size, F.lit("}")))
+    said = F.when(k == 0, "{}").otherwise(F.concat(F.lit('{"measurements": '), inner, F.lit(', "status": "'), "p_brand", F.lit('"}')))
+    r = read(spark, sf_dir, "part").select("p_partkey", F.parse_json(said).alias("r"))
+    return r.select("p_partkey", nested_get(F.col("r"), "$.measurements.height", "double", F.lit(6.0)).alias("height"), nested_get(F.col("r"), "$.status", "string", F.lit("unknown")).alias("status"))
+
+
+@query(f"""WITH {_GRID} SELECT building_id, (w * w)::DOUBLE / 4 AS bow_tie, (w * w)::DOUBLE / 8 AS common, (4 * w * w)::DOUBLE AS wound_twice, false AS simple FROM g""")
+def polygon_repair(spark, sf_dir):
+    """Rings that cross themselves: a bow tie keeps one half, and what a ring goes around twice counts once."""
+    x, z, w = F.col("x").cast("double"), F.col("z").cast("double"), F.col("w").cast("double")
+    ring = lambda *points: F.array(*[F.array(x + a * w, z + b * w) for a, b in points])
+    tie, half = ring((0, 0), (1, 1), (0, 1), (1, 0)), ring((0, 0), (0.5, 0), (0.5, 1), (0, 1))
+    twice = ring((0, 0), (2, 0), (2, 2), (0, 2), (0, 0), (1, 0), (1, 1), (0, 1))
+    g = _grid(spark, sf_dir).select("building_id", repaired(tie).alias("tie"), F.array(half).alias("half"), repaired(twice).alias("twice"), is_simple(tie).alias("simple"))
+    return g.select("building_id", total_area(F.col("tie")).alias("bow_tie"), common_area(F.col("tie"), F.col("half")).alias("common"), total_area(F.col("twice")).alias("wound_twice"), "simple")

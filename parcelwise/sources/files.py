@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+import tempfile
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +17,8 @@ from parcelwise.functions.rounding import py_round
 # Suffixes by what is looked for
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp")
 CENSUS_SUFFIXES = ("jpg", "jpeg", "png", "tif", "tiff")
+#: Values of an image that a Python step gives at once.
+SLICE_VALUES = 1 << 16
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -24,6 +31,14 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return whole.select(F.posexplode(F.coalesce(found, F.raise_error(F.lit("not a JSON array")))).alias("ord", "r")).select("r.*", "ord")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only in local mode, as executors elsewhere don't see the driver's."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or f"file://{tempfile.gettempdir()}/parcelwise-checkpoints"
+
+
 def _fields(ddl: str) -> str:
     from pyspark.sql.types import StructType
 
@@ -67,16 +82,38 @@ def building_folders(names: DataFrame, name: str = "name", prefix: str = "buildi
 
 
 def images(spark: SparkSession, path: str, drop_invalid: bool = True) -> DataFrame:
-    """(path, height, width, channels, mode, data); pixels are in the order B, G, R."""
+    """(path, height, width, channels, mode, data); pixels are in the order B, G, R. Paths are written as find_files() has them."""
     raw = spark.read.format("image").option("dropInvalid", str(drop_invalid).lower()).option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.mode", "image.data")
+    return raw.select(F.regexp_replace("image.origin", "^file:///", "file:/").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.mode", "image.data")
+
+
+def image_set(spark: SparkSession, path: str) -> DataFrame:
+    """images() with a suffix in IMAGE_SUFFIXES, in any case, in the order of their paths; what can't be decoded is left out, with a warning of how many."""
+    files = find_files(spark, path, IMAGE_SUFFIXES)
+    if files.isEmpty():
+        return spark.createDataFrame([], "path string, height int, width int, channels int, mode int, data binary")
+    found = images(spark, path).where(suffix(F.col("path")).isin(*IMAGE_SUFFIXES))
+    bad = files.join(found.select("path"), "path", "left_anti").count()
+    if bad:
+        logging.getLogger(__name__).warning("%d images can't be decoded and are left out", bad)
+    return found.orderBy("path")
+
+
+def image_information(found: DataFrame) -> DataFrame:
+    """(file_name, format, width, height, mode) of images(); the format goes by the suffix, JPEG for jpg."""
+    kind = F.upper(F.regexp_replace(suffix(F.col("path")), "^jpg$", "jpeg"))
+    return found.select(file_name(F.col("path")).alias("file_name"), kind.alias("format"), "width", "height", colour_mode(F.col("channels")).alias("mode"))
+
+
+def colour_mode(channels: Column) -> Column:
+    return F.when(channels == 1, "L").when(channels == 3, "RGB").when(channels == 4, "RGBA")
 
 
 def image_inventory(found: DataFrame, files: DataFrame) -> DataFrame:
     """One row an image: building_id, filename, extension, width, height, mode, size_mb, view_type, error (null if it decodes); bad images stay."""
     joined = files.join(found.drop("data"), "path", "left")
     bad = F.col("width").isNull() | (F.col("width") < 0)
-    mode = F.when(F.col("channels") == 1, "L").when(F.col("channels") == 3, "RGB").when(F.col("channels") == 4, "RGBA")
+    mode = colour_mode(F.col("channels"))
     good = lambda c: F.when(~bad, c)
     return joined.select(
         folder_name(F.col("path")).alias("building_id"), file_name(F.col("path")).alias("filename"), good(suffix(F.col("path"))).alias("extension"), good(F.col("width")).alias("width"),
@@ -86,18 +123,28 @@ def image_inventory(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def pixels(found: DataFrame) -> DataFrame:
-    """(path, y, x, c, value) with c in the order R, G, B, from images()."""
-    n = F.col("width") * F.col("channels")
-    each = found.withColumn("hex", F.hex("data")).select("path", "width", "channels", n.alias("n"), F.posexplode(F.regexp_extract_all("hex", F.lit(".."), F.lit(0))).alias("i", "b"))
-    c = F.pmod(F.col("i"), F.col("channels"))
-    return each.select("path", F.floor(F.col("i") / F.col("n")).cast("int").alias("y"), F.floor(F.pmod(F.col("i"), F.col("n")) / F.col("channels")).cast("int").alias("x"), F.when(F.col("channels") >= 3, F.when(c < 3, 2 - c).otherwise(c)).otherwise(c).alias("c"), F.conv("b", 16, 10).cast("int").alias("value"))
+    """(path, y, x, c, value) with c in the order R, G, B (then alpha), from images(); decoded in slices of SLICE_VALUES, so no image becomes one array."""
+
+    def run(batches):
+        for batch in batches:
+            for path, width, channels, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = np.frombuffer(data, np.uint8)
+                order = np.array([2, 1, 0, 3] if channels >= 3 else [0, 1], np.int32)
+                for at in range(0, len(values), SLICE_VALUES):
+                    part = values[at : at + SLICE_VALUES]
+                    i = np.arange(at, at + len(part))
+                    y, x, c = i // (width * channels), i % (width * channels) // channels, order[i % channels]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), *(pa.array(v.astype(np.int32)) for v in (y, x, c, part))], names=["path", "y", "x", "c", "value"])
+
+    return found.where("width > 0").select("path", "width", "channels", "data").mapInArrow(run, "path string, y int, x int, c int, value int")
 
 
 def mask_pixels(found: DataFrame) -> DataFrame:
-    """(image_id, y, x, value 0 or 255): grey level over 127."""
-    level = F.sum(F.when(F.col("c") == 0, 0.299).when(F.col("c") == 1, 0.587).when(F.col("c") == 2, 0.114).otherwise(0.0) * F.col("value"))
+    """(image_id, y, x, value 0 or 255): grey level over 127. Grey is 0.299 R + 0.587 G + 0.114 B in 65,536ths, rounded half up."""
+    level = F.sum(F.when(F.col("c") == 0, 19595).when(F.col("c") == 1, 38470).when(F.col("c") == 2, 7471).otherwise(0) * F.col("value"))
     grey = pixels(found).groupBy("path", "y", "x").agg(level.alias("rgb"), F.max("value").alias("one"), F.count(F.lit(1)).alias("n"))
-    return grey.select(F.col("path").alias("image_id"), "y", "x", F.when(F.when(F.col("n") == 1, F.col("one")).otherwise(F.floor(F.col("rgb"))) > 127, 255).otherwise(0).alias("value"))
+    rounded = F.shiftright(F.col("rgb") + 32768, 16)
+    return grey.select(F.col("path").alias("image_id"), "y", "x", F.when(F.when(F.col("n") == 1, F.col("one")).otherwise(rounded) > 127, 255).otherwise(0).alias("value"))
 
 
 def image_mask_pairs(files: DataFrame) -> DataFrame:

@@ -58,7 +58,6 @@ def test_statuses_and_ties(spark):
     p = spark.createDataFrame([(0, "first", _ring(0, 0, 10, 10)), (1, "same", _ring(0, 0, 10, 10)), (2, "far", _ring(50, 0, 100, 10))], "ord int, parcel_id string, polygon array<array<double>>")
     got = {r.building_id: (r.validation_status, r.parcel_id) for r in matching.match_parcels(b, p).collect()}
     assert got == {"match": ("MATCH", "first"), "outside": ("OUTSIDE_PARCEL", "far"), "none": ("UNREGISTERED", None), "edge": ("UNREGISTERED", None), "empty": ("UNREGISTERED", None)}
-    assert {r.building_id: (r.validation_status, r.parcel_id) for r in matching.match_parcels(b, p, cell=3.0).collect()} == got
     assert matching.match_parcels(b, p.limit(0)).where("validation_status = 'UNREGISTERED'").count() == 5
 
 
@@ -131,7 +130,7 @@ def test_queries_match_sql(spark):
     for name in "region nation customer supplier part orders lineitem documents embeddings pages labels".split():
         sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     same = lambda v: round(v, 9) if isinstance(v, float) else v
-    for name in ("match_status_counts", "unit_totals", "bbox_scene", "train_split", "run_components", "inlier_ratio"):
+    for name in ("match_status_counts", "unit_totals", "bbox_scene", "train_split", "run_components", "inlier_ratio", "folder_city", "mean_losses", "nested_defaults", "polygon_repair", "pixel_channels"):
         df, found = registry.QUERIES[name](spark, sf), sql.execute(registry.ORACLE_SQL[name])
         names = sorted(df.columns)
         want = sorted(str([same(dict(zip([d[0] for d in found.description], r, strict=True))[c]) for c in names]) for r in found.fetchall())
@@ -151,3 +150,143 @@ def test_nearest_two_in_chunks(spark, monkeypatch):
                 two = sorted(math.dist(v, w) for c, _, w in rows if c == b)[:2]
                 want[a, b, k] = (len(two), pytest.approx(two[0]), pytest.approx(two[1]) if len(two) > 1 else None)
     assert got == want
+
+
+def _common(one, other):
+    """Of two boxes."""
+    w, d = min(one[2], other[2]) - max(one[0], other[0]), min(one[3], other[3]) - max(one[1], other[1])
+    return w * d if w > 0 and d > 0 else 0.0
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    rng = random.Random(9)
+
+    def boxes(n):
+        made = []
+        for _ in range(n):
+            size = 10.0 ** rng.randint(-3, 6)
+            x, y = rng.uniform(-2, 2) * size, rng.uniform(-2, 2) * size
+            made.append((x, y, x + size * rng.uniform(0.1, 1), y + size * rng.uniform(0.1, 1)))
+        return made
+
+    bs, ps = boxes(60), [*boxes(60), (-1e9, -1e9, 1e9, 1e9)]
+    turned = lambda b, i: _ring(*b)[i % 4 :] + _ring(*b)[: i % 4]
+    frame = lambda of, key: spark.createDataFrame([(i, turned(b, i)[:: 1 if i % 2 else -1]) for i, b in enumerate(of)], f"{key} int, polygon array<array<double>>")
+    got = {(r["__b"], r["__p"]): (r.iou, r.coverage) for r in matching.overlaps(frame(bs, "__b"), frame(ps, "__p")).collect()}
+    want = {}
+    for i, b in enumerate(bs):
+        for j, p in enumerate(ps):
+            if common := _common(b, p):
+                own, other = _common(b, b), _common(p, p)
+                want[i, j] = (pytest.approx(common / (own + other - common)), pytest.approx(common / own))
+    assert got == want and len(got) > 100
+
+
+def test_rings_that_cannot_be_measured_match_nothing(spark):
+    rings = [None, [], [[0.0, 0.0]], _ring(0, 0, 0, 0), _ring(0, 0, float("inf"), 1), _ring(0, 0, float("nan"), 1), [[0.0, 0.0], [2.0, 2.0], [0.0, 2.0], [2.0, 0.0]]]
+    b = spark.createDataFrame(list(enumerate(rings)), "__b int, polygon array<array<double>>")
+    p = spark.createDataFrame([(0, _ring(0, 0, 2, 2) + [[0.0, 0.0]])], "__p int, polygon array<array<double>>")
+    got = matching.overlaps(b, p).collect()
+    assert [(r["__b"], r.iou, r.coverage) for r in got] == [(6, pytest.approx(0.25), pytest.approx(1.0))]
+    assert matching.overlaps(b.limit(0), p).count() == matching.overlaps(b, p.limit(0)).count() == 0
+
+
+def test_repaired_rings_equal_a_raster(spark):
+    from parcelwise.functions import geometry
+
+    rng = random.Random(3)
+    rings = [[[float(rng.randint(0, 6)), float(rng.randint(0, 6))] for _ in range(n)] for n in (3, 4, 5, 6, 7, 9) for _ in range(8)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rings)], "i int, r array<array<double>>")
+    parts = {x.i: x for x in df.select("i", geometry.repaired(F.col("r")).alias("parts"), geometry.total_area(geometry.repaired(F.col("r"))).alias("area"), geometry.is_simple(F.col("r")).alias("simple"), geometry.area(F.col("r")).alias("plain")).collect()}
+
+    def times(ring, x, y):
+        n = 0
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (y1 > y) != (y2 > y) and x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x:
+                n += 1 if y2 > y1 else -1
+        return n
+
+    steps = 97
+    for i, ring in enumerate(rings):
+        wound = [[times(ring, 6 * (k + 0.5) / steps, 6 * (m + 0.5) / steps) for k in range(steps)] for m in range(steps)]
+        cell = (6 / steps) ** 2
+        ways = [sum(w > 0 for row in wound for w in row) * cell, sum(w < 0 for row in wound for w in row) * cell]
+        assert min(abs(parts[i].area - w) for w in ways) < 0.6, (ring, parts[i].area, ways)
+        if parts[i].simple:
+            assert parts[i].area == pytest.approx(parts[i].plain)
+
+
+def _png(rgb):
+    """A PNG of rows of (r, g, b)."""
+    import struct
+    import zlib
+
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    lines = b"".join(b"\0" + bytes(v for p in row for v in p) for row in rgb)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(rgb[0]), len(rgb), 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_images(spark, tmp_path, monkeypatch, caplog):
+    rgb = [[(255, 0, 0), (128, 127, 126)], [(0, 255, 0), (10, 20, 30)], [(127, 128, 127), (127, 127, 128)]]
+    (tmp_path / "yellow").mkdir()
+    (tmp_path / "yellow" / "b_front.PNG").write_bytes(_png(rgb))
+    (tmp_path / "yellow" / "a.png").write_bytes(_png([[(1, 2, 3)]]))
+    (tmp_path / "yellow" / "bad.jpg").write_bytes(b"no image")
+    (tmp_path / "yellow" / "n.txt").write_text("n")
+    (tmp_path / "none").mkdir()
+    monkeypatch.setattr(files, "SLICE_VALUES", 4)
+    found = files.image_set(spark, str(tmp_path))
+    assert [files_name.rsplit("/", 1)[1] for (files_name,) in found.select("path").collect()] == ["a.png", "b_front.PNG"] and "1 images" in caplog.text
+    assert files.image_set(spark, str(tmp_path / "none")).count() == 0
+    info = {r.file_name: tuple(r)[1:] for r in files.image_information(found).collect()}
+    assert info == {"a.png": ("PNG", 1, 1, "RGB"), "b_front.PNG": ("PNG", 2, 3, "RGB")}
+    one = found.where(F.col("path").endswith("PNG"))
+    px = {(r.y, r.x, r.c): r.value for r in files.pixels(one).collect()}
+    assert px == {(y, x, c): rgb[y][x][c] for y in range(3) for x in range(2) for c in range(3)}
+    mask = {(r.y, r.x): r.value for r in files.mask_pixels(one).collect()}
+    assert mask == {(0, 0): 0, (0, 1): 0, (1, 0): 255, (1, 1): 0, (2, 0): 255, (2, 1): 0}
+    listed = files.image_inventory(files.images(spark, str(tmp_path), drop_invalid=False), files.find_files(spark, str(tmp_path)))
+    rows = {r.filename: r for r in listed.collect()}
+    assert set(rows) == {"a.png", "b_front.PNG", "bad.jpg"} and rows["bad.jpg"].error and rows["bad.jpg"].width is None
+    assert (rows["b_front.PNG"].view_type, rows["a.png"].view_type, rows["a.png"].error) == ("front", "unknown", None)
+
+
+def test_masks_come_back_from_files(spark, tmp_path):
+    cells = {(0, 0): 255, (0, 1): 0, (1, 0): 0, (1, 1): 255, (2, 1): 255}
+    px = spark.createDataFrame([("m", y, x, v) for (y, x), v in cells.items()] + [("n", 0, 0, 255)], "image_id string, y int, x int, value int")
+    sinks.write_masks(px, f"file://{tmp_path}/masks")
+    back = files.mask_pixels(files.images(spark, str(tmp_path / "masks")))
+    got = {(r.image_id[-5], r.y, r.x): r.value for r in back.collect()}
+    assert got == {("m", y, x): cells.get((y, x), 0) for y in range(3) for x in range(2)} | {("n", 0, 0): 255}
+
+
+def test_synthetic_images(spark):
+    ids = spark.range(5).withColumnRenamed("id", "image_id")
+    rects = footprints.synthetic_rectangles(ids)
+    rows = rects.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, footprints.synthetic_rectangles(ids).collect()))
+    assert all(50 <= r.x2 - r.x1 <= 140 and 50 <= r.y2 - r.y1 <= 120 and 10 <= r.x1 and r.x2 <= 630 and 10 <= r.y1 and r.y2 <= 630 and 170 <= min(r.red, r.green, r.blue) <= max(r.red, r.green, r.blue) <= 230 for r in rows)
+    assert all(3 <= sum(r.image_id == k for r in rows) <= 8 for k in range(5))
+    some = spark.createDataFrame([(0, 0, 1, 1, 3, 2, 200, 201, 202), (0, 1, 3, 2, 4, 4, 180, 181, 182)], "image_id int, ord int, x1 int, y1 int, x2 int, y2 int, red int, green int, blue int")
+    px = {(r.y, r.x): (r.red, r.green, r.blue, r["mask"]) for r in footprints.synthetic_pixels(some, 6).collect()}
+    assert len(px) == 36 and px[0, 0] == (120, 150, 110, 0) and px[1, 1] == (200, 201, 202, 255) and px[2, 3] == (180, 181, 182, 255) and sum(v[3] == 255 for v in px.values()) == 11
+
+
+def test_documents_and_settings(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\n  b", [1.0]), (0, None, [])], "k int, name string, v array<double>")
+    for indent in (0, 2, 4):
+        sinks.write_document(df, str(tmp_path / f"d{indent}"), "k", indent=indent)
+        text = "".join(p.read_text() for p in (tmp_path / f"d{indent}").glob("part-*"))
+        assert json.loads(text) == [{"name": None, "v": []}, {"name": "a\n  b", "v": [1.0]}]
+        if indent:
+            assert {len(x) - len(x.lstrip()) for x in text.splitlines()} <= {indent * k for k in range(4)} and f"\n{' ' * indent}\"name\"" in text
+    sinks.write_records(df, str(tmp_path / "lines"), ["k"])
+    assert spark.read.json(str(tmp_path / "lines")).count() == 2
+    (tmp_path / "p.ini").write_text("top=1\n[One]\na = b=c\n; no=1\n[Two]\nd=\n")
+    assert [(r.section, r.key, r.value) for r in files.ini_settings(spark, str(tmp_path / "p.ini")).orderBy("line").collect()] == [("", "top", "1"), ("One", "a", "b=c"), ("Two", "d", "")]
+
+
+def test_no_folders_is_an_error(spark):
+    none = spark.createDataFrame([], "name string, number long, image_count int")
+    with pytest.raises(ValueError, match="no building folders"):
+        footprints.city_of_folders(none)
