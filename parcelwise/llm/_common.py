@@ -30,8 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/parcelwise-shared").rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode; elsewhere an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.gettempdir()}/parcelwise-shared").rstrip("/")
 
 
 def _remove(spark: SparkSession, path: str) -> None:

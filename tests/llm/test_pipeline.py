@@ -31,3 +31,22 @@ def test_entry_lists_all():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("kept", F.lit("own"))
+    odd = [(None, None, None, None, None), (-1, None, "en", "s", 0), (-2, "", None, None, 0), (-3, " \n", "en", "s", 2), (-4, "日本語 😀", "en", None, 6), (-4, "日本語 😀", "en", None, 6), (-5, "x " * 5000, None, "s", 10000)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("own"))
+    odd = odd.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    for now in (docs.where("doc_id < 60").unionByName(odd), docs.where("false")):
+        some = not now.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, SF).cache()
+            assert bool(out.count()) == some, name
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == now.columns, name
+            if name == "language_id":
+                assert out.where("text is null or trim(text) = ''").count() == 0
+            if name == "near_dedup":
+                assert out.where("doc_id = -4").count() <= 1
+            now = out
