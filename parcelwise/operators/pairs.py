@@ -13,6 +13,8 @@ from parcelwise.functions.rounding import py_round
 RATIO, LEAST_MATCHES = 0.75, 8
 #: Descriptors of an image that are held at once.
 CHUNK = 1024
+#: Models that RANSAC fits at last among the points that its best one explains.
+LOCAL_TRIES = 10
 
 
 def image_pairs(images: DataFrame, image: str = "image") -> DataFrame:
@@ -88,11 +90,17 @@ def gated(pairs: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
     return out
 
 
+def _homogeneous(p: np.ndarray) -> np.ndarray:
+    out = np.ones((len(p), 3))
+    out[:, :2] = p
+    return out
+
+
 def _normalised(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     centre, spread = p.mean(0), max(np.sqrt(((p - p.mean(0)) ** 2).sum(1)).mean(), 1e-12)
     s = np.sqrt(2) / spread
     t = np.array([[s, 0, -s * centre[0]], [0, s, -s * centre[1]], [0, 0, 1]])
-    return np.c_[p, np.ones(len(p))] @ t.T, t
+    return _homogeneous(p) @ t.T, t
 
 
 def _fundamental(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,7 +111,7 @@ def _fundamental(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _off_lines(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x, y = np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))]
+    x, y = _homogeneous(a), _homogeneous(b)
     l2, l1 = x @ f.T, y @ f
     e = (y * l2).sum(1) ** 2
     return np.sqrt(np.maximum(e / np.maximum(l2[:, 0] ** 2 + l2[:, 1] ** 2, 1e-12), e / np.maximum(l1[:, 0] ** 2 + l1[:, 1] ** 2, 1e-12)))
@@ -111,31 +119,48 @@ def _off_lines(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _homography(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     (x, t), (y, u) = _normalised(a), _normalised(b)
-    zero = np.zeros_like(x)
-    rows = np.r_[np.c_[zero, -x, y[:, 1:2] * x], np.c_[x, zero, -y[:, :1] * x]]
+    rows, n = np.zeros((2 * len(x), 9)), len(x)
+    rows[:n, 3:6], rows[:n, 6:], rows[n:, :3], rows[n:, 6:] = -x, y[:, 1:2] * x, x, -y[:, :1] * x
     return np.linalg.inv(u) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ t
 
 
 def _off_points(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    z = np.c_[a, np.ones(len(a))] @ h.T
+    z = _homogeneous(a) @ h.T
     return np.sqrt(((z[:, :2] / np.where(np.abs(z[:, 2:]) < 1e-12, 1e-12, z[:, 2:]) - b) ** 2).sum(1))
 
 
 def _consensus(a: np.ndarray, b: np.ndarray, fit, off, size: int, within: float, sure: float, seed: int) -> int:
-    """The most points that one model of `size` of them explains; 0 where none can be fitted."""
-    rng, best, tries, done = np.random.default_rng(seed), 0, 1000, 0
-    while done < tries:
-        done += 1
-        some = rng.choice(len(a), size, replace=False)
+    """How many points the best model of `size` of them explains; 0 where none can be fitted.
+
+    The best has the least sum of squares off, each of at most `within` squared: the plain count would take a model that is bent by a
+    point near by chance, if it reaches one more so. The last tries are among the points that the best explains, where chance ones are
+    few: a bent model doesn't stay because the tries ended early.
+    """
+    rng, most, tries, done = np.random.default_rng(seed), 1000, 1000, 0
+    least, best = len(a) * within**2, np.zeros(len(a), bool)
+
+    def better(some: np.ndarray) -> bool:
+        nonlocal least, best
         try:
-            n = int((off(fit(a[some], b[some]), a, b) <= within).sum())
+            far = off(fit(a[some], b[some]), a, b)
         except np.linalg.LinAlgError:
-            continue
-        if n > best:
-            best = n
-            share = (n / len(a)) ** size
-            tries = min(tries, done if share >= 1 else int(np.log(1 - sure) / np.log(1 - share)) + 1 if share > 1e-9 else tries)
-    return best
+            return False
+        cost = np.fmin(far**2, within**2).sum()
+        if cost >= least:
+            return False
+        least, best = cost, far <= within
+        return True
+
+    while done < tries:
+        done += 1
+        if better(rng.choice(len(a), size, replace=False)):
+            share = best.mean() ** size
+            tries = done if share >= 1 else min(most, int(np.log(1 - sure) / np.log(1 - share)) + 1) if share > 1e-9 else most
+    explained = np.flatnonzero(best)
+    if size < len(explained) < len(a):
+        for _ in range(LOCAL_TRIES):
+            better(rng.choice(explained, size, replace=False))
+    return int(best.sum())
 
 
 def verify_geometry(points: DataFrame, least: int = LEAST_MATCHES, seed: int = 42) -> DataFrame:

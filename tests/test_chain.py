@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,19 @@ def test_ratio_and_ransac(spark):
     assert (seen["c"].raw_matches, seen["c"].fundamental_inliers, seen["c"].homography_ratio) == (1, 0, 0.0)
 
 
+def test_ransac_bends_no_model_to_chance_points():
+    """Two points 2.8 and 3.2 px off the exact model: one that is bent to the first reaches the second, too."""
+    exact = np.array([[0.9, -0.1, 12], [0.1, 0.9, -5], [0, 0, 1]])
+    for k in range(60):
+        a = np.array([((37 * i + 11 * k) % 640, (91 * i + 7 * k) % 480) for i in range(60)] + [(10, 10), (20, 14)], float)
+        b = np.c_[a, np.ones(62)] @ exact[:2].T
+        b[:60:4] = a[:60:4, ::-1]
+        b[60:, 0] += 2.8, 3.2
+        order = np.lexsort(a.T[::-1])
+        got = pairs._consensus(a[order], b[order], pairs._homography, pairs._off_points, 4, 3.0, 0.995, 42)
+        assert got == (pairs._off_points(exact, a, b) <= 3).sum() == 46, k
+
+
 def test_stream(spark, parcels, buildings, tmp_path):
     from parcelwise.streaming.matching import match_stream
 
